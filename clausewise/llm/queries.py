@@ -31,6 +31,35 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from clausewise.llm.packing import pack, with_crc32
+
+    return with_crc32(pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1))
+
+
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.audio import audio_columns, store_as_audio
+
+    read = audio_columns(store_as_audio(_table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id",
+        F.col("tags")["bytes"].cast("long").alias("n_bytes"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.format_string(
+            "frames=%d;samples=%d;hz=%d;bad_crc=%d;seek=%d-%d",
+            "frames", "samples", "hz", "bad_crc", F.get("seek", F.lit(0)), F.element_at("seek", -1),
+        ).alias("feature"),
+        "frames",
+        (F.col("samples") / F.col("hz")).alias("duration_s"),
+    )
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausewise.llm.chat import format_conversations, read_back
 
