@@ -119,6 +119,7 @@ def fit(
     support: float = 0.04,
     rounds: int = 4,
     noise: float = 0.06,
+    odds: float = 5.0,
 ) -> Lexicon:
     """A lexicon from labelled rows outside the held-out fold.
 
@@ -126,7 +127,7 @@ def fit(
     hashes of their ids, so the sample doesn't depend on order).  The lexicon grows
     by covering: of the toxic rows that no entry matches yet, words and starts of
     four or five letters that ``support`` of them hold (``least`` rows at least) get
-    their smoothed log odds as weights and become entries, up to ``entries`` in
+    these odds as weights and become entries, up to ``entries`` in
     each of ``rounds`` rounds, until fewer than ``noise`` of all toxic rows are
     left, which count as wrongly labelled.  So words that copies of one toxic text share are not
     learned.  With no labels the hand-written lexicon stays.
@@ -168,7 +169,7 @@ def fit(
             break
         weight = F.log((F.col("p") + 0.5) / (total["p"] + 1)) - F.log((F.col("q") + 0.5) / (total["q"] + 1))
         # at most ``entries`` rows reach the driver
-        strong = counts.where((F.col("feature") != "#") & (F.col("p") >= support * total["p"])).withColumn("w", weight).where("w > 3.5")
+        strong = counts.where((F.col("feature") != "#") & (F.col("p") >= support * total["p"])).withColumn("w", weight).where(F.col("w") > odds)
         rows = strong.orderBy(F.desc("w"), "feature").limit(entries).collect()
         starts = {r["feature"][1:] for r in rows if r["feature"][0] == "^"}
         whole = set()
