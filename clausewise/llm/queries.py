@@ -49,6 +49,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.mixing import mix
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, repetition=2.0).select("doc_id", "source", "mix_block", "mix_key", "mix_weight", "mix_tokens")
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,6 +85,12 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.caps import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausewise.llm.chat import format_conversations, read_back
 
@@ -123,5 +136,22 @@ FROM w
 """
 
 
+OP9_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM e
+  UNION
+  SELECT reach.vec_id, l.b FROM reach JOIN l ON l.a = reach.r),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL}
+    return {"op9_embedding_dedup": OP9_SQL, "op8_chat_format": OP8_SQL}
