@@ -56,6 +56,13 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, repetition=2.0).select("doc_id", "source", "mix_block", "mix_key", "mix_weight", "mix_tokens")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.linededup import dedup_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "removed_chunks", "removed_chars", "text")
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
