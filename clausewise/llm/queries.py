@@ -118,6 +118,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.ordermin import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
