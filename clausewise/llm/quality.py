@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausewise.llm._shared import Scratch, batches, held_out, small_slices
 from clausewise.session import map_batches
@@ -171,32 +172,30 @@ def _terms() -> Terms:
     return _cache[0]
 
 
-def score(docs: DataFrame, model: Neighbours | None, *, id: str = "doc_id", text: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Neighbours | None, *, id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """Quality of every whole text: ``doc_id, score`` from 0 to 1, higher for label 1.
 
     The model (at most a few thousand short vectors, by ``fit``'s bounds) is
     broadcast.  A text without words, null included, has no terms; its neighbours
     vote like any other's.  Ids are passed on as they are, repeated rows are scored
     once each, other columns are ignored, an empty table gives an empty table.
-    ``keep`` maps names to Spark types of columns to pass on.
+    With ``carry`` a column ``row`` holds the whole input row, whatever its names.
     """
-    keep = keep or {}
-    source = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), *[F.col(k).alias(f"kept_{k}") for k in keep])
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    source = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *row)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([f for f in source.schema if f.name != "text"]).add("score", "double")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, fitted = _terms(), shared.value
         for batch in small_slices(stream, "text"):
             texts = batch.column("text").to_pylist()
-            if fitted is None:
-                found = np.full(len(texts), 0.5)
-            else:
-                found = np.concatenate(
-                    [fitted.vote(fitted.embed(np.stack([terms.count(t) for t in texts[i : i + 512]]))) for i in range(0, len(texts), 512)]
-                    or [np.zeros(0)]
-                )
-            columns = [batch.column("doc_id"), *[batch.column(f"kept_{k}") for k in keep], *([batch.column("text")] if keep else []), pa.array(found)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *[f"kept_{k}" for k in keep], *(["text"] if keep else []), "score"])
-
-    kinds = "".join(f"kept_{k} {v}, " for k, v in keep.items()) + ("text string, " if keep else "")
-    return map_batches(source, run, f"doc_id long, {kinds}score double")
+            found = [np.full(len(texts), 0.5)]
+            if fitted is not None:
+                parts = [texts[i : i + 512] for i in range(0, len(texts), 512)]
+                found = [fitted.vote(fitted.embed(np.stack([terms.count(t) for t in part]))) for part in parts]
+            names = ["doc_id", *(["row"] if carry else [])]
+            columns = [*[batch.column(n) for n in names], pa.array(np.concatenate([*found, np.zeros(0)]))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "score"])
+
+    return map_batches(source, run, schema)
