@@ -6,6 +6,7 @@ import urllib.request
 from collections.abc import Callable, Iterable
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,7 +44,7 @@ def pdf_documents(spark: SparkSession, path: str, text_of: Callable[[bytes], Ite
         return [page.extract_text() for page in PdfReader(io.BytesIO(content)).pages]
 
     @F.pandas_udf("string")
-    def read(contents):
+    def read(contents: pd.Series) -> pd.Series:
         return contents.map(lambda c: "\n".join(p or "" for p in pages(bytes(c))))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
