@@ -172,11 +172,12 @@ def pack(
     stored = scratch.keep(map_batches(source, tokenize, "part int, at long, doc_id long, n long, ids binary"))
     # one row per partition of the input: its number is bounded by the number of tasks
     totals = sorted(stored.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    place, sum_ = [], 0
+    base, sum_ = {}, 0
     for part, n in totals:
-        place.append((part, sum_))
+        base[part] = sum_
         sum_ += n
-    places = spark.createDataFrame(place, "part int, base long")
+    # as large as that number of tasks: a few bytes for each
+    places = spark.sparkContext.broadcast(base)
     cut = batches(
         {
             "doc_id": pa.int64(),
@@ -192,8 +193,9 @@ def pack(
     def pieces(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(stream, "ids"):
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "at")), strict=True)
-            for doc_id, n, raw, at in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "at", "part")), strict=True)
+            for doc_id, n, raw, at, part in rows:
+                at += places.value[part]
                 ids = np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype("<u4").tobytes()
                 start = 0
                 while start < n:
@@ -205,11 +207,8 @@ def pack(
                     start += size
             yield cut(out)
 
-    placed = stored.join(places, "part").select("doc_id", "n", "ids", (F.col("at") + F.col("base")).alias("at"))
-    return map_batches(
-        placed,
-        pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    )
+    kinds = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    return map_batches(stored.select("doc_id", "n", "ids", "at", "part"), pieces, kinds)
 
 
 def with_crc32(pieces: DataFrame) -> DataFrame:
