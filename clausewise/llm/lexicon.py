@@ -123,7 +123,7 @@ def fit(
 ) -> Lexicon:
     """A lexicon from labelled rows outside the held-out fold.
 
-    At most about ``most`` rows of either label are read (those with the smallest
+    At most ``most`` rows of either label are read (those with the smallest
     hashes of their ids, so the sample doesn't depend on order).  The lexicon grows
     by covering: of the toxic rows that no entry matches yet, words and starts of
     four or five letters that ``support`` of them hold (``least`` rows at least) get
@@ -137,8 +137,10 @@ def fit(
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Lexicon()
-    share = F.when(F.col("y") == 1, min(1.0, most / sizes[1])).otherwise(min(1.0, most / sizes[0]))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["doc_id"])
+    rank = F.xxhash64("doc_id", F.lit("toxic"))
+    of = lambda y: known.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(rank, "doc_id").limit(most)
+    # at most two times ``most`` ids and labels, so that the texts stay where they are
+    chosen = F.broadcast(of(1).unionByName(of(0)))
     scratch = Scratch(spark, "toxic")
     sample = scratch.keep(docs.selectExpr(f"`{id}` AS doc_id", f"`{text}` AS text").join(chosen, "doc_id"))
     make = batches({"feature": pa.string(), "y": pa.int32(), "n": pa.int64()})
@@ -160,9 +162,9 @@ def fit(
                 for y, c in seen.items():
                     yield make({"feature": list(c), "y": [y] * len(c), "n": list(c.values())})
 
-        of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+        held = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
         counts = scratch.keep(
-            map_batches(sample, count, "feature string, y int, n long").groupBy("feature").agg(of(1).alias("p"), of(0).alias("q")).where(F.col("p") >= least)
+            map_batches(sample, count, "feature string, y int, n long").groupBy("feature").agg(held(1).alias("p"), held(0).alias("q")).where(F.col("p") >= least)
         )
         total = counts.where("feature = '#'").first()
         if not total or total["p"] < noise * min(most, sizes[1]):
