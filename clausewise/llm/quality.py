@@ -126,7 +126,7 @@ def fit(
 ) -> Neighbours | None:
     """Labelled vectors from rows outside the held-out fold.
 
-    About ``most`` rows of either label at the most are used, those with the
+    At most ``most`` rows of either label are used, those with the
     smallest hashes of their ids; their counts (not their texts) reach the driver,
     which computes the axes by a singular value decomposition.  With no labelled
     rows there is no model and ``score`` gives 0.5.
@@ -136,8 +136,10 @@ def fit(
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not sizes:
         return None
-    share = F.when(F.col("y") == 1, min(1.0, most / sizes.get(1, 1))).otherwise(min(1.0, most / sizes.get(0, 1)))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["doc_id"])
+    rank = F.xxhash64("doc_id", F.lit("quality"))
+    of = lambda y: known.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(rank, "doc_id").limit(most)
+    # at most two times ``most`` ids and labels, so that the texts stay where they are
+    chosen = F.broadcast(of(1).unionByName(of(0)))
     make = batches({"y": pa.int32(), "x": pa.binary()})
 
     def counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
