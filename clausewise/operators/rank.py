@@ -7,6 +7,7 @@ query.  A ranked list has query_id, rank (from 1), id and score.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,29 @@ def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
 
 
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Postings, lengths and statistics of a corpus, for any number of searches."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    def scores(self, queries: DataFrame) -> DataFrame:
+        return bm25_scores(queries, self.postings, self.lengths, self.terms, self.stats)
+
+
+def lexical_index(chunks: DataFrame, keep: bool = False) -> LexicalIndex:
+    """The index of ``chunks``; with ``keep`` its tables stay with the executors between searches."""
+    posted, lengths = postings(chunks), document_lengths(chunks)
+    if keep:
+        posted, lengths = posted.persist(), lengths.persist()
+    stats = corpus_stats(lengths)
+    terms = term_stats(posted, stats)
+    return LexicalIndex(posted, lengths, *(x.persist() if keep else x for x in (terms, stats)))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, n): a term that a question repeats counts as often."""
     return queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n_q"))
@@ -99,11 +123,10 @@ def bm25(
     regulations: Sequence[str] | str | None = None,
     doc_types: Sequence[str] | str | None = None,
     floor: float = LEXICAL_FLOOR,
+    lexical: LexicalIndex | None = None,
 ) -> DataFrame:
     """Lexical search: positive scores that reach ``floor`` of the best allowed one."""
-    posted, lengths = postings(chunks), document_lengths(chunks)
-    stats = corpus_stats(lengths)
-    scored = bm25_scores(queries, posted, lengths, term_stats(posted, stats), stats).where("score > 0")
+    scored = (lexical or lexical_index(chunks)).scores(queries).where("score > 0")
     metadata = chunks.where(allowed(regulations, doc_types)).select("id", "pos")
     best = F.max("score").over(W.partitionBy("query_id"))
     kept = scored.join(metadata, "id").withColumn("best", best).where(F.col("score") >= floor * F.col("best"))
@@ -234,6 +257,7 @@ def hybrid_search(
     query_vectors: DataFrame | None = None,
     per_article: int = PER_ARTICLE,
     per_document: int = PER_DOCUMENT,
+    lexical: LexicalIndex | None = None,
 ) -> DataFrame:
     """Lexical and semantic lists of 3 ``top_k`` each, fused, with reserved hits and caps: (query_id, rank, id, score, reserved).
 
@@ -243,6 +267,7 @@ def hybrid_search(
     of it; reserved rows use up no quota.
     """
     wide = 3 * top_k
+    lexical = lexical or lexical_index(chunks, keep=True)
     lists = []
     wordings = [queries.select("query_id", "query")]
     if "extra" in queries.columns:
@@ -250,14 +275,12 @@ def hybrid_search(
     for wording in wordings:
         if vectors is not None and query_vectors is not None:
             lists.append(cosine_knn(query_vectors, vectors, wide, condition=allowed(regulation, doc_types)))
-        lists.append(bm25(wording, chunks, wide, regulations=regulation, doc_types=doc_types))
+        lists.append(bm25(wording, chunks, wide, regulations=regulation, doc_types=doc_types, lexical=lexical))
     fused = lists[0].select("query_id", "rank", "id", "score") if len(lists) == 1 else fuse(lists)
     n = min(max(top_k // 2, 1), 4)
     metadata = chunks.select("id", "regulation", "article_number", "document_label")
     articles = reserved_articles(queries, chunks, regulation, n)
-    posted, lengths = postings(chunks), document_lengths(chunks)
-    stats = corpus_stats(lengths)
-    scores = bm25_scores(queries, posted, lengths, term_stats(posted, stats), stats)
+    scores = lexical.scores(queries.select("query_id", "query"))
     by_article = articles.select("query_id").distinct()
     scope = chunks if regulation is None else chunks.where(F.col("regulation") == regulation)
     documents = reserved_documents(queries, scope, scores, n).join(by_article, "query_id", "left_anti")

@@ -82,18 +82,15 @@ def stability_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fields(ddl: str) -> str:
-    """Top-level columns as fields of a struct."""
-    depth, out = 0, ""
-    field_start = True
+    """Top-level columns of a DDL as fields of a struct."""
+    columns, depth = [""], 0
     for c in ddl:
         depth += (c == "<") - (c == ">")
-        if depth == 0 and c == " " and field_start:
-            out, field_start = out + ":", False
-            continue
-        if depth == 0 and c == ",":
-            field_start = True
-        out += c
-    return out.replace(", ", ",")
+        if c == "," and not depth:
+            columns.append("")
+        else:
+            columns[-1] += c
+    return ",".join(":".join(c.strip().split(" ", 1)) for c in columns)
 
 
 def cases(spark: SparkSession, path: str, only: Iterable[str] | None = None) -> DataFrame:
