@@ -7,11 +7,12 @@ import os
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from clausewise.session import ship
 
@@ -75,6 +76,42 @@ def backend() -> LLM:
     return Chat(url, model, os.environ.get("CLAUSEWISE_LLM_KEY", "")) if url and model else Echo()
 
 
+REWRITE = "Rewrite the question as a short English search query without names of regulations. Answer with the query alone."
+DECOMPOSE = "List the separate legal questions that this scenario raises, one per line, each complete in itself."
+TRIAGE = "Which of DORA, GDPR, KVKK, BDDK does this situation touch? Answer with a comma-separated list, or NONE."
+
+
+def attempt(llm: LLM, system: str, text: str, tries: int = 2, accept: Callable[[str, str], bool] | None = None) -> str | None:
+    """A model's short answer: failures and empty ones are tried again, and so are ones that aren't accepted, of which the first is better than none."""
+    second_best = None
+    for _ in range(tries):
+        try:
+            found = (llm.chat(system, text) or "").strip()
+        except Exception:  # noqa: BLE001 - whatever a back end raises, the plan has a fallback
+            continue
+        if not found or found == EXHAUSTED:
+            continue
+        if accept is None or accept(text, found):
+            return found
+        second_best = second_best or found
+    return second_best
+
+
+def suggest(rows: DataFrame, llm: LLM, system: str, text: str, out: str, *, need: Column | None = None, tries: int = 2, accept=None) -> DataFrame:
+    """``rows`` with a model's answer to ``text`` as column ``out`` where ``need`` holds, else null; the deterministic back end suggests nothing."""
+    if isinstance(llm, Echo):
+        return rows.withColumn(out, F.lit(None).cast("string"))
+    ship(rows.sparkSession)
+    flagged = rows.withColumn(out, F.when(F.lit(True) if need is None else need, F.col(text)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame[out] = [None if t is None else attempt(llm, system, t, tries, accept) for t in frame[out]]
+            yield frame
+
+    return flagged.mapInPandas(run, flagged.schema)
+
+
 def generate(prompts: DataFrame, llm: LLM, system: str) -> DataFrame:
     """(query_id, answer) of (query_id, prompt): one call a row, in the executors."""
     ship(prompts.sparkSession)

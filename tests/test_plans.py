@@ -152,3 +152,42 @@ def test_grading(spark):
     assert graded == {1: ("FAIL", 2), 2: ("SKIP", 0), 3: ("PASS", 0), 4: ("SKIP", 0)}
     runs = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (2, 1, "a"), (2, 2, "b"), (3, 1, None), (3, 2, "a")], "query_id int, run int, source string")
     assert {r.query_id: r.diverged for r in evaluate.stability(runs).collect()} == {1: False, 2: True, 3: True}
+
+
+class Scripted:
+    def __init__(self, answers):
+        self.answers = list(answers)
+
+    def chat(self, system, user, reasoning=False):
+        answer = self.answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+
+def test_attempts():
+    from clausewise.plans.llm import EXHAUSTED, attempt
+
+    said = lambda *answers: attempt(Scripted(answers), "s", "veri ihlali nedir", accept=ask._translated)
+    assert said(OSError("x"), "data breach") == "data breach"
+    assert said("veri ihlali", "data breach") == "data breach"
+    assert said("veri ihlali", EXHAUSTED) == "veri ihlali"
+    assert said("", OSError("x")) is None
+
+
+def helper():
+    class Helper:  # a local class travels to the workers by value
+        def chat(self, system, user, reasoning=False):
+            from clausewise.plans import llm
+
+            return {llm.REWRITE: "GDPR erasure of personal data", llm.DECOMPOSE: "1. what is erasure\n2. who is told", llm.TRIAGE: "GDPR"}.get(system, "It is so [1].")
+
+    return Helper()
+
+
+def test_a_model_decomposes_triages_and_rewrites(spark, chunks):
+    q = spark.createDataFrame([(1, "z" * 401, None), (2, "short one", "GDPR")], "query_id int, query string, regulation string")
+    rows = {r.query_id: r for r in ask.prepare(q, helper()).collect()}
+    assert rows[1].sub_questions == ["what is erasure", "who is told"] and rows[1].triage == ["GDPR"] and rows[2].sub_questions is None
+    found = ask.retrieve(ask.prepare(q.where("query_id = 2"), helper()), chunks, llm=helper())
+    assert ids(found, 2)[0] == "G2"
