@@ -231,7 +231,7 @@ def parse_articles(raw: DataFrame, documents: DataFrame) -> DataFrame:
     """
     ship(raw.sparkSession)
     meta = documents.select(*[f.split()[0] for f in schemas.DOCUMENTS.split(", ")]).drop("full_name")
-    rows = raw.join(F.broadcast(meta), "doc_id", "left")
+    rows = raw.join(meta, "doc_id", "left")
     statute_ = F.col("regulation").isNull()
     rows = rows.select(
         "doc_id",

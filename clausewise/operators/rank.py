@@ -137,12 +137,12 @@ def cosine_knn(queries: DataFrame, vectors: DataFrame, n: int, *, floor: float |
     """Semantic search: the ``n`` nearest first, then those above the floor.
 
     ``queries`` has query_id and vector, ``vectors`` id, pos, vector and metadata.
-    Exact: every question meets every allowed vector, in place, as the questions of
-    a batch are few and travel to the vectors.
+    Exact: every question of the batch meets every allowed vector.  Spark sends the
+    questions to the vectors if their size allows, else it pairs blocks of both.
     """
     scored = (
         (vectors.where(condition) if condition is not None else vectors)
-        .join(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))))
+        .crossJoin(queries.select("query_id", F.col("vector").alias("q")))
         .select("query_id", "id", "pos", F.round(cosine(F.col("q"), F.col("vector")), DIGITS).alias("score"))
     )
     best = top(scored, n)
