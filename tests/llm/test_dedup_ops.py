@@ -131,6 +131,27 @@ def test_near_duplicates(spark):
     assert ordermin.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_alignment_of_one_edited_place():
+    x = np.arange(100, dtype=np.uint64)
+    y = x.copy()
+    y[40:45] += np.uint64(1000)
+    assert ordermin.ordered_similarity(x, y, 0.8) == pytest.approx(95 / 105)
+    assert ordermin.ordered_similarity(x, np.delete(y, 60), 0.8) == pytest.approx(94 / 105)
+
+
+def test_one_repeated_shingle_leaves_candidates():
+    rng, s, met = random.Random(12), ordermin.Sketcher(), 0
+    for _ in range(100):
+        w, phrase = words(rng, 188).split(), words(rng, 6).split()
+        one = [*w[:60], *phrase, *w[60:120], *phrase, *w[120:]]
+        two = [*one]
+        two[128] = "changed"
+        x, y = s.shingles(" ".join(one)), s.shingles(" ".join(two))
+        assert len(set(x)) < len(x) and len(set(y)) == len(y) and ordermin.ordered_similarity(x, y, 0.8) >= 0.8
+        met += bool(set(s.sketch(x)) & set(s.sketch(y)))
+    assert met == 100
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(9)
     rows = []
