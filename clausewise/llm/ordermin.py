@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.llm._shared import Scratch, batches, components, small_slices
@@ -67,18 +68,31 @@ class Sketcher:
             h = _mix(h ^ w[i : i + n]) + np.uint64(i + 1)
         return h
 
-    def sketch(self, shingles: np.ndarray) -> np.ndarray:
-        """One 64-bit key per hash function."""
+    @staticmethod
+    def labelled(shingles: np.ndarray) -> np.ndarray:
+        """The shingles told from equal ones by their number among them: all different."""
         n = len(shingles)
-        if not n:
-            return np.zeros(0, dtype=np.int64)
         order = np.argsort(shingles, kind="stable")
         ordered = shingles[order]
         starts = np.maximum.accumulate(np.where(np.concatenate([[True], ordered[1:] != ordered[:-1]]), np.arange(n), 0))
         occurrence = np.empty(n, dtype=np.uint64)
         occurrence[order] = (np.arange(n) - starts).astype(np.uint64)
         # every text's alike, whether or not something repeats in it
-        labelled = _mix(shingles ^ (occurrence * np.uint64(0x9E3779B97F4A7C15)))
+        return _mix(shingles ^ (occurrence * np.uint64(0x9E3779B97F4A7C15)))
+
+    def prefix(self, shingles: np.ndarray, spread: np.ndarray, least: float) -> np.ndarray:
+        """The rarest labelled shingles by ``spread`` (a count per upper 16 bits): two texts of similarity ``least`` share one."""
+        all_ = self.labelled(shingles)
+        n = len(all_)
+        order = np.lexsort((all_, spread[all_ >> np.uint64(48)]))
+        return all_[order[: n - math.ceil(least * n - 1e-9) + 1]]
+
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        """One 64-bit key per hash function."""
+        n = len(shingles)
+        if not n:
+            return np.zeros(0, dtype=np.int64)
+        labelled = self.labelled(shingles)
         values = (labelled[None, :] ^ self.seeds) * self.odd
         values ^= values >> np.uint64(32)
         k = min(self.picks, n)
@@ -156,11 +170,15 @@ def near_duplicates(
     their smallest id, which is the one that is kept.
 
     Copies of one text form a node first, so they cost one row each.  Nodes with
-    a sketch key in common are candidates: each key's nodes are compared with one
-    leader (a partially aggregated minimum and an equi-join that the skew rule
-    splits), never with each other.  Later rounds take other leaders, at random per
-    key, for keys whose nodes still lie in different classes; rounds go on until
-    one adds no link.  Texts are fetched for nodes in candidate pairs only.
+    a sketch key in common are candidates: each key's nodes are first compared with
+    one leader, the node that meets most others (a partially aggregated maximum
+    and an equi-join that the skew rule splits).  Later rounds take other leaders,
+    at random per key, for keys whose nodes still lie in different classes, until
+    one adds no link.  Then all nodes of such keys are compared whole: pairs of
+    different classes that share one of their rarest shingles, of which each node
+    shows as many as a pair at ``threshold`` cannot miss (prefix filtering).  So
+    every candidate pair is in one class, or compared, or too far apart by its
+    shingles alone.  Texts are fetched for nodes in candidate pairs only.
 
     Null texts count as empty; texts without words are copies of each other if
     their bytes are equal.  Rows of one id are one document.  Rows with a null id
@@ -171,22 +189,23 @@ def near_duplicates(
     scratch = Scratch(docs.sparkSession, "near")
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shape = (shingle, sketches, picks)
-    sketched = batches({"doc_id": pa.int64(), "t": pa.binary(), "keys": pa.list_(pa.int64())})
+    sketched = batches({"doc_id": pa.int64(), "t": pa.binary(), "keys": pa.list_(pa.int64()), "size": pa.int32()})
 
     def sketch(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(*shape)
         for batch in small_slices(stream, "text"):
             texts = batch.column("text").to_pylist()
             digests = [hashlib.md5((t or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts]
-            keys = [sketcher.sketch(sketcher.shingles(t)) for t in texts]
-            yield sketched({"doc_id": batch.column("doc_id").to_pylist(), "t": digests, "keys": keys})
+            shingles = [sketcher.shingles(t) for t in texts]
+            keys = [sketcher.sketch(s) for s in shingles]
+            yield sketched({"doc_id": batch.column("doc_id").to_pylist(), "t": digests, "keys": keys, "size": [len(s) for s in shingles]})
 
-    all_ = scratch.keep(map_batches(source.where("doc_id IS NOT NULL"), sketch, "doc_id long, t binary, keys array<long>"))
-    nodes = all_.groupBy("t").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    all_ = scratch.keep(map_batches(source.where("doc_id IS NOT NULL"), sketch, "doc_id long, t binary, keys array<long>, size int"))
+    nodes = all_.groupBy("t").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size"))
     copies = all_.join(nodes.select("t", "node"), "t").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    spots = nodes.select("node", F.posexplode("keys").alias("i", "key"))
-    crowded = spots.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    spots = scratch.keep(spots.join(crowded, ["i", "key"]).select("i", "key", "node", "leader"))
+    spots = nodes.select("node", "size", F.posexplode("keys").alias("i", "key"))
+    crowded = spots.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
+    spots = scratch.keep(spots.join(crowded, ["i", "key"]).select("i", "key", "node", "size", "n"))
     # not bounded, so never broadcast: the texts move at every size
     wanted = spots.select(F.col("node").alias("doc_id")).distinct().hint("merge")
     sheet = batches({"node": pa.int64(), "shingles": pa.binary()})
@@ -212,33 +231,83 @@ def near_duplicates(
         both = first.join(texts.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a")
         return scratch.keep(map_batches(both.select("a", "b", "p", "q"), align, "a long, b long, ok boolean"))
 
-    tried = verify(spots.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    def fits(x: str, y: str) -> Column:
+        """Whether two numbers of shingles allow the similarity at all."""
+        return F.least(x, y) >= F.greatest(x, y) * threshold - 1e-6
+
+    # the text that its copies were made from meets most others
+    met = spots.groupBy("node").agg(F.sum("n").alias("met"))
+    lead = spots.join(met, "node").groupBy("i", "key").agg(F.max(F.struct("met", (-F.col("node")).alias("m"), "size")).alias("lead"))
+    near = spots.join(lead.select("i", "key", (-F.col("lead.m")).alias("leader"), F.col("lead.size").alias("lead_size")), ["i", "key"])
+    ends = (F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
+    tried = verify(near.where("node <> leader").where(fits("size", "lead_size")).select(*ends).distinct())
     links = tried.where("ok").select("a", "b")
-    turn, open_ = 0, spots.select("i", "key", "node")
+    turn, open_ = 0, spots.select("i", "key", "node", "size")
     while True:
         classes = components(links, scratch)
         turn += 1
-        here = open_.join(classes, "node", "left").select("i", "key", "node", F.coalesce("component", "node").alias("c"))
+        here = open_.join(classes, "node", "left").select("i", "key", "node", "size", F.coalesce("component", "node").alias("c"))
         mixed = (
             here.groupBy("i", "key")
-            .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("node", "i", F.lit(turn)).alias("h"), "node", "c")).alias("lead"))
+            .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("node", "i", F.lit(turn)).alias("h"), "node", "c", "size")).alias("lead"))
             .where("low < high")
-            .select("i", "key", F.col("lead.node").alias("leader"), F.col("lead.c").alias("lead_c"))
+            .select("i", "key", F.col("lead.node").alias("leader"), F.col("lead.c").alias("lead_c"), F.col("lead.size").alias("lead_size"))
         )
         # classes only grow, so a key whose nodes share one is done
         open_ = scratch.keep(here.join(mixed, ["i", "key"]))
         pairs = (
             open_.where("c <> lead_c")
-            .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
+            .where(fits("size", "lead_size"))
+            .select(*ends)
             .distinct()
             .join(tried.select("a", "b"), ["a", "b"], "left_anti")
         )
-        open_ = open_.select("i", "key", "node")
+        left, open_ = open_.select("node", "c").distinct(), open_.select("i", "key", "node", "size")
         fresh = verify(pairs)
         won = fresh.where("ok").select("a", "b")
         if won.isEmpty():
             break
         links, tried = links.unionByName(won), tried.unionByName(fresh)
+    # no leader is left that helps: what remains is compared whole, by the rarest shingles
+    left = scratch.keep(texts.join(left, "node"))
+
+    def spread_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << 16, dtype=np.int64)
+        for batch in stream:
+            for x in batch.column("shingles"):
+                n += np.bincount((Sketcher.labelled(np.frombuffer(x.as_buffer(), "<u8")) >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+        at = np.flatnonzero(n)
+        yield counted({"at": at.tolist(), "n": n[at].tolist()})
+
+    counted = batches({"at": pa.int64(), "n": pa.int64()})
+    spread = np.zeros(1 << 16, dtype=np.int64)
+    for r in map_batches(left.select("shingles"), spread_of, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        spread[r["at"]] = r["n"]
+    rare = batches({"s": pa.int64(), "node": pa.int64(), "c": pa.int64(), "size": pa.int32()})
+
+    def prefixes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher(*shape)
+        for batch in small_slices(stream, "shingles"):
+            out: dict[str, list] = {k: [] for k in ("s", "node", "c", "size")}
+            for node, x, c in zip(batch.column("node").to_pylist(), batch.column("shingles"), batch.column("c").to_pylist(), strict=True):
+                x = np.frombuffer(x.as_buffer(), "<u8")
+                for s in sketcher.prefix(x, spread, threshold).astype(np.int64).tolist():
+                    for k, v in (("s", s), ("node", node), ("c", c), ("size", len(x))):
+                        out[k].append(v)
+            yield rare(out)
+
+    heads = map_batches(left.select("node", "shingles", "c"), prefixes, "s long, node long, c long, size int")
+    shared = heads.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
+    heads = scratch.keep(heads.join(shared, "s", "left_semi"))
+    other = heads.select("s", F.col("node").alias("b"), F.col("c").alias("d"), F.col("size").alias("m"))
+    last = (
+        heads.join(other, "s")
+        .where((F.col("node") > F.col("b")) & (F.col("c") != F.col("d")) & fits("size", "m"))
+        .select(F.col("node").alias("a"), "b")
+        .distinct()
+        .join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    )
+    links = links.unionByName(verify(last).where("ok").select("a", "b"))
     joined = components(links.unionByName(copies), scratch)
     found = all_.select("doc_id", "t").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     result = found.select("doc_id", F.coalesce("component", "doc_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -152,6 +152,41 @@ def test_one_repeated_shingle_leaves_candidates():
     assert met == 100
 
 
+def test_copies_of_one_text_are_one_class(spark):
+    rng, s = random.Random(13), ordermin.Sketcher()
+    base = words(rng, 220)
+    rows = [(500, base)]
+    for i in range(1001):
+        w = base.split()
+        for at in rng.sample(range(5, 215, 10), 4):
+            w[at] = words(rng, 1)
+        rows += [(i, " ".join(w))] * (i != 500)
+    x = s.shingles(base)
+    assert all(ordermin.ordered_similarity(x, s.shingles(t), 0.8) >= 0.8 for _, t in rows)
+    got = ordermin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1001 and {r.class_id for r in got} == {0}
+
+
+def test_crowded_keys_are_compared_whole(spark):
+    # few picks make keys that unlike texts share; brute force is over all pairs
+    rng = random.Random(14)
+    shared = words(rng, 100)
+    rows = [(i, f"{words(rng, 15)} {shared} {words(rng, 15)}") for i in range(150)]
+    rows += [(200 + i, edit(rng, rows[i * 7][1], 2)) for i in range(20)]
+    got = ordermin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), picks=1, sketches=4).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
+
+
+def test_prefixes_meet():
+    rng, s = random.Random(15), ordermin.Sketcher()
+    spread = np.array([rng.randint(0, 3) for _ in range(1 << 16)])
+    for _ in range(200):
+        t = words(rng, rng.randint(5, 120))
+        x, y = s.shingles(t), s.shingles(edit(rng, t, rng.randint(0, 4)))
+        if ordermin.ordered_similarity(x, y, 0.8) >= 0.8:
+            assert set(s.prefix(x, spread, 0.8)) & set(s.prefix(y, spread, 0.8))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(9)
     rows = []
