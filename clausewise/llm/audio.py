@@ -145,18 +145,20 @@ def parse(data: bytes) -> Stream:
     with a checksum that doesn't hold is counted and kept in the time line.
     """
     out, crcs = Stream(), {}
-    end = len(data) - 128 * (data[-128:-125] == b"TAG")
+    end, tag = len(data), len(data) - 128 if data[-128:-125] == b"TAG" else -1
     at, first = _id3v2(data, out), True
     if at:
         out.skipped = 0
     kind = None
     while at + 4 <= end:
+        if at == tag:  # only where a frame ends: payloads may hold these letters, too
+            break
         four = data[at : at + 4]
         h = header(four)
         stop = at + h.size if h else 0
         if h and stop <= end and (kind is None or kind == (h.layer, h.version, h.hz)):
             follow = header(data[stop : stop + 4]) if stop + 4 <= end else None
-            if stop == end or follow and (follow.layer, follow.version, follow.hz) == (h.layer, h.version, h.hz):
+            if stop in (end, tag) or follow and (follow.layer, follow.version, follow.hz) == (h.layer, h.version, h.hz):
                 kind = (h.layer, h.version, h.hz)
                 if first and _table(data, at, h, out):
                     first, at = False, stop
@@ -176,6 +178,8 @@ def parse(data: bytes) -> Stream:
                 continue
         again = data.find(b"\xff", at + 1, end)
         again = end if again < 0 else again
+        if at < tag < again:
+            again = tag
         out.skipped += again - at
         at = again
     return out

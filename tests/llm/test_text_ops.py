@@ -140,6 +140,21 @@ def test_audio_round_trip_and_damage(spark, docs):
     assert audio.audio_columns(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first().frames == 0
 
 
+def test_audio_keeps_a_payload_that_looks_like_a_tag():
+    for n in (1, 2, 5):
+        raw = bytearray(b"x" * 576 * n)
+        raw[-576 + 521 : -576 + 524] = b"TAG"
+        data = audio.encode(bytes(raw), {"bytes": str(len(raw))})
+        assert data[-128:-125] == b"TAG"
+        s = audio.parse(data)
+        assert audio.payload_of(data, s) == bytes(raw) and len(s.offsets) == n and s.skipped == 0
+    tagged = audio.encode(b"y" * 1152) + b"TAG" + bytes(125)
+    s = audio.parse(tagged)
+    assert audio.payload_of(tagged, s) == b"y" * 1152 and len(s.offsets) == 2 and s.skipped == 0
+    s = audio.parse(audio.encode(b"y" * 1152) + b"junk" + b"TAG" + bytes(125))
+    assert s.skipped == 4 + 672  # the last frame has no valid follower, as before
+
+
 def test_packing_round_trip(spark, docs):
     tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
