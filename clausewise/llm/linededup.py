@@ -1,10 +1,10 @@
-"""Line deduplication by content-defined chunks of lines."""
+"""Line deduplication by overlapping runs of content-defined units."""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,7 +17,7 @@ from clausewise.llm._shared import Scratch, batches, small_slices
 from clausewise.session import map_batches
 
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?]+[^\S\n]*|[^.!?\n]+\n?|\n")
-_RUN = re.compile(r"(?:\S+\s*){1,16}|\s+")
+_WORD = re.compile(r"\S+\s*")
 ADDED = ("removed_chunks", "removed_chars")
 
 
@@ -25,65 +25,114 @@ ADDED = ("removed_chunks", "removed_chars")
 class Chunking:
     """How texts are cut.
 
-    A line of ``long_line`` words or more is a section of its own and is laid out
-    in shorter lines, by sentences and at 16 words at the most; other lines in a
-    row form a section as they are.  Within a section, a chunk ends after a line
-    where the rolling hash of the last two lines is 0 modulo ``every``, but holds
-    two lines and ``least_words`` words at least; what is left over at the end
-    joins the last chunk.  Boundaries depend on the lines nearby only, so they come
-    back wherever the same lines do.
+    A line of ``long_line`` words or more is laid out in units: sentences, and
+    those of more than 16 words again before each word whose hash is the smallest
+    within ``reach`` words; another line is a unit as it is.  A chunk is a run of
+    two units and ``least_words`` words at least that gets too short without its
+    first or without its last unit; chunks overlap, and one begins or ends at
+    nearly every unit.  So a run of units that stands elsewhere, too, is covered by
+    its chunks to its ends, whatever surrounds it.
     """
 
     long_line: int = 24
-    every: int = 3
     least_words: int = 20
+    reach: int = 4
 
-    def chunks(self, text: str) -> list[tuple[int, int]]:
-        """(start, end) of every chunk that is long enough to be removed."""
-        out: list[tuple[int, int]] = []
-        run: list[tuple[int, int, int]] = []
+    def units(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, words) of all units in order."""
+        out: list[tuple[int, int, int]] = []
         at = 0
         for line in _lines(text):
             words = len(line.split())
-            if words >= self.long_line:
-                self._section(text, run, out)
-                run = []
-                units, place = [], at
-                for m in _SENTENCE.finditer(line):
-                    s = m.group()
+            if words < self.long_line:
+                out.append((at, at + len(line), words))
+            else:
+                place = at
+                for s in _SENTENCE.findall(line.removesuffix("\n")):
                     n = len(s.split())
                     if n <= 16:
-                        units.append((place, place + len(s), n))
-                        place += len(s)
+                        out.append((place, place + len(s), n))
                     else:
-                        for r in _RUN.findall(s):
-                            units.append((place, place + len(r), len(r.split())))
-                            place += len(r)
-                self._section(text, units, out)
-            else:
-                run.append((at, at + len(line), words))
+                        out += [(place + a, place + b, k) for a, b, k in self._runs(s)]
+                    place += len(s)
+                out[-1] = (out[-1][0], at + len(line), out[-1][2])
             at += len(line)
-        self._section(text, run, out)
         return out
 
-    def _section(self, text: str, units: list[tuple[int, int, int]], out: list[tuple[int, int]]) -> None:
-        if len(units) < 2:
-            return
-        first, before, held, words = units[0][0], 0, 0, 0
-        made: list[tuple[int, int]] = []
-        for start, end, n in units:
-            h = zlib.crc32(text[start:end].rstrip("\n").encode("utf-8", "surrogatepass"))
-            rolling = ((before << 1 | before >> 31) & 0xFFFFFFFF) ^ h
-            before, held, words = h, held + 1, words + n
-            if held >= 2 and words >= self.least_words and rolling % self.every == 0:
-                made.append((first, end))
-                first, held, words = end, 0, 0
-        if held:
-            if held >= 2 and words >= self.least_words:
-                made.append((first, units[-1][1]))
-            elif made:
-                made[-1] = (made[-1][0], units[-1][1])
-        out += made
+    def _runs(self, sentence: str) -> list[tuple[int, int, int]]:
+        """A long sentence cut where its words nearby say so, not where it begins."""
+        found = list(_WORD.finditer(sentence))
+        h = [zlib.crc32(m.group().rstrip().encode("utf-8", "surrogatepass")) for m in found]
+        r = self.reach
+        cuts = [i for i in range(1, len(h)) if h[i] < min(h[max(i - r, 0) : i]) and h[i] <= min(h[i : i + r + 1])]
+        ends = [0, *cuts, len(h)]
+        starts = [0, *(found[i].start() for i in cuts), len(sentence)]
+        return [(starts[k], starts[k + 1], ends[k + 1] - ends[k]) for k in range(len(ends) - 1)]
+
+    def windows(self, units: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """(first, past the last) unit of every chunk, in order and each once."""
+        total = [0]
+        for u in units:
+            total.append(total[-1] + u[2])
+        out: set[tuple[int, int]] = set()
+        n, j, i = len(units), 0, 0
+        for a in range(n):
+            j = max(j, a + 2)
+            while j <= n and total[j] - total[a] < self.least_words:
+                j += 1
+            if j > n:
+                break
+            out.add((a, j))
+        for b in range(2, n + 1):
+            while i + 1 <= b - 2 and total[b] - total[i + 1] >= self.least_words:
+                i += 1
+            if total[b] - total[i] >= self.least_words:
+                out.add((i, b))
+        return sorted(out)
+
+    def keyed(self, text: str) -> list[tuple[int, int, int]]:
+        """(hash, start, end) of every chunk; white space at a chunk's end does not count."""
+        units = self.units(text)
+        windows = self.windows(units)
+        if not windows:
+            return []
+        whole, bare = [], []
+        for a, b, _ in units:
+            s = text[a:b]
+            t = s.rstrip()
+            d = xxhash.xxh3_64_digest(t.encode("utf-8", "surrogatepass"))
+            bare.append(d)
+            whole.append(d + s[len(t) :].encode("utf-8", "surrogatepass"))
+        hashed = xxhash.xxh3_64_intdigest
+        return [(hashed(b"".join(whole[a : b - 1]) + bare[b - 1]), units[a][0], units[b - 1][1]) for a, b in windows]
+
+    def chunks(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of all units: where chunks may begin and end."""
+        return [(a, b) for a, b, _ in self.units(text)]
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def cover(spans: list[tuple[int, int]]) -> list[int]:
+    """Indexes of few of the sorted spans that cover as much as all."""
+    out: list[int] = []
+    reach, best = -1, -1
+    for k, (a, b) in enumerate(spans):
+        if best >= 0 and a > reach:
+            out.append(best)
+            reach, best = spans[best][1], -1
+        if b > reach and (best < 0 or b > spans[best][1]):
+            best = k
+    return out + [best] * (best >= 0)
 
 
 def _lines(text: str) -> list[str]:
@@ -101,7 +150,8 @@ def dedup_lines(docs: DataFrame, chunking: Chunking = Chunking(), *, id: str = "
 
     A chunk's first place (the smallest id, then the place in the text) keeps it;
     each other place loses it, if its bytes are those of the first place: equal
-    hashes alone remove nothing.  Adds ``removed_chunks`` and ``removed_chars``; input
+    hashes alone remove nothing.  Chunks overlap; the added ``removed_chunks`` counts
+    the stretches that go, and ``removed_chars`` their characters; input
     columns of these names give way, others pass unchanged.
 
     Null and empty texts have no chunks and pass as they are.  Of copies of one
@@ -128,8 +178,8 @@ def dedup_lines(docs: DataFrame, chunking: Chunking = Chunking(), *, id: str = "
         for batch in small_slices(stream, "text"):
             out: dict[str, list] = {k: [] for k in ("h", "id", "key", "start", "end")}
             for key, i, t in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "text")), strict=True):
-                for s, e in chunking.chunks(t) if t else ():
-                    out["h"].append(_signed(xxhash.xxh3_64_intdigest(t[s:e].rstrip("\n").encode("utf-8", "surrogatepass"))))
+                for h, s, e in chunking.keyed(t) if t else ():
+                    out["h"].append(_signed(h))
                     out["id"].append(i)
                     out["key"].append(key)
                     out["start"].append(s)
@@ -148,11 +198,13 @@ def dedup_lines(docs: DataFrame, chunking: Chunking = Chunking(), *, id: str = "
         for batch in small_slices(stream, "text"):
             out: dict[str, list] = {k: [] for k in ("h", "key", "start", "end", "first", "bytes")}
             for key, t, places in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "marks")), strict=True):
-                for m in places:
+                first = [m for m in places if m["first"]]
+                again = sorted((m for m in places if not m["first"]), key=lambda m: (m["start"], m["end"]))
+                for m in first + [again[k] for k in cover([(m["start"], m["end"]) for m in again])]:
                     for k in ("h", "start", "end", "first"):
                         out[k].append(m[k])
                     out["key"].append(key)
-                    out["bytes"].append(t[m["start"] : m["end"]].rstrip("\n").encode("utf-8", "surrogatepass"))
+                    out["bytes"].append(t[m["start"] : m["end"]].rstrip().encode("utf-8", "surrogatepass"))
             yield piece(out)
 
     pieces = scratch.keep(
@@ -184,16 +236,17 @@ def dedup_lines(docs: DataFrame, chunking: Chunking = Chunking(), *, id: str = "
         for batch in small_slices(stream, "text"):
             texts, counts, chars = [], [], []
             for t, spans in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                spans = merged((s["start"], s["end"]) for s in spans or ())
                 if spans:
                     at, kept = 0, []
-                    for s in spans:
-                        kept.append(t[at : s["start"]])
-                        at = s["end"]
+                    for start, end in spans:
+                        kept.append(t[at:start])
+                        at = end
                     kept.append(t[at:])
                     texts.append("".join(kept))
                 else:
                     texts.append(t)
-                counts.append(len(spans or ()))
+                counts.append(len(spans))
                 chars.append(len(t or "") - len(texts[-1] or ""))
             columns = [batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(chars, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "removed_chunks", "removed_chars"])

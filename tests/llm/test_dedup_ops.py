@@ -61,6 +61,42 @@ def test_chunks_resist_shifts():
         assert all(p[1] <= q[0] for p, q in zip(spans, spans[1:], strict=False)) and all(0 <= p < q <= len(t) for p, q in spans)
 
 
+def test_short_passages_go_wherever_they_stand(spark):
+    rng = random.Random(16)
+    short = lambda n: [words(rng, rng.randint(8, 14)) for _ in range(n)]
+    rows, passages = [], []
+    for k in range(40):
+        lines, inside = short(5), sentences(rng, 9)
+        for i in (2 * k, 2 * k + 1):
+            about = [sentences(rng, rng.randint(3, 9)) for _ in range(2)]
+            rows.append((i, "\n".join([*short(rng.randint(2, 7)), *lines, *short(rng.randint(2, 7)), f"{about[0]} {inside} {about[1]}"])))
+        passages.append((lines, inside))
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (lines, inside) in enumerate(passages):
+        assert got[2 * k] == rows[2 * k][1]
+        own = rows[2 * k + 1][1].replace("\n".join(lines) + "\n", "").replace(inside + " ", "")
+        assert got[2 * k + 1] == own
+
+
+def test_long_sentences_are_cut_by_their_words():
+    rng, c = random.Random(17), linededup.Chunking()
+    met = 0
+    for _ in range(100):
+        passage = words(rng, 60)
+        a, b = ({h for h, _, _ in c.keyed(f"{words(rng, rng.randint(20, 50))} {passage} {words(rng, 30)}")} for _ in range(2))
+        met += bool(a & b)
+    assert met >= 95
+
+
+def test_cover_and_merge():
+    rng = random.Random(18)
+    points = lambda x: {p for a, b in x for p in range(a, b)}
+    for _ in range(300):
+        spans = sorted({(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 20)))})
+        few = [spans[i] for i in linededup.cover(spans)]
+        assert points(few) == points(spans) == points(linededup.merged(spans)) and len(few) <= len(spans)
+
+
 def brute_lcs(x, y):
     row = [0] * (len(y) + 1)
     for a in x:
