@@ -398,6 +398,12 @@ def chunk_numbered(spark, d):
     return rows.join(fits, "article_number", "left_semi").groupBy("article_number").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query()
+def chunk_numbered_all(spark, d):
+    """The numbered path over all documents, over-long units and all: every chunk."""
+    return chunked(spark, d, True).select("id", "regulation", "article_number", "chunk_index", "total_chunks", F.md5("text").alias("h"))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN len(k) > 0 THEN len(k) ELSE 1 END AS n FROM (SELECT conv_id, turn,
  list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^[\\s\\-*\\d.)]+', ''))), lambda x: length(x) > 8)[:5] AS k FROM conversations WHERE role = 'user')""")
 def subquestion_cleanup(spark, d):
