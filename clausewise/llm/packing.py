@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,107 +21,115 @@ from clausewise.llm._shared import Scratch, batches, partition_id, small_slices
 
 #: Characters at which str.split() cuts and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
-#: A word whose pieces are known without the tokenizer's own rules: letters, then marks.
-_SHAPE = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}]*)")
+#: How the tokenizer cuts ASCII words in lower case.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: The rule of the tokenizer on which that rests.
 _SPLIT = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models write for each byte: printable ones as they are, others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_SPELLED = _byte_letters()
+
+
+class _Known(dict):
+    """Ids of words, found on demand.
+
+    Two generations of ``most`` words bound it: when the younger is full it becomes
+    the older, whose own words go, so words in use stay.
+    """
+
+    def __init__(self, tokenizer, code: str, most: int):
+        super().__init__()
+        self.tokenizer, self.model, self.code = tokenizer, tokenizer.model, code
+        self.most, self.older = most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ascii_ = word.isascii()
+            if word.isalpha():
+                pieces = [word if ascii_ else word.encode().decode("latin-1").translate(_SPELLED)]
+            elif ascii_:
+                pieces = _PIECE.findall(word)
+            else:
+                pieces = None
+            if pieces is None:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            else:
+                ids = [t.id for piece in pieces for t in self.model.tokenize(piece)]
+            ids = array(self.code, ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordTokens:
-    """Ids of whole texts from a word-level tokenizer, by caches of its words and of their pieces.
+    """Ids of whole texts from a word-level tokenizer, by a cache of its words.
 
     The tokenizer's ids of a text are those of its words (stretches without white
-    space) in order, as no rule of it looks across white space.  Words repeat, so
-    most are encoded once per process.  Of a new word that is letters and then
-    marks, in composed form and with a plain lower case, letters and marks are one
-    piece each; pieces repeat even more.  All other words go through the whole
-    tokenizer, and so do texts with a separator control character.  ``most`` bounds
-    each cache; a full one is emptied.
+    space) in order, as no rule of it looks across white space; nor does one look
+    from a letter to a mark behind it, so such marks count as words of their own.
+    Texts are lower-cased and cut into words together; the ids of each distinct word
+    come from the cache and are laid out by word numbers.  A new word of letters is
+    one piece of the model, another ASCII word is cut by the tokenizer's own
+    rule, and all other words go through the whole tokenizer.  So do whole texts
+    that hold a separator control character or a special token, or that aren't in
+    composed form (before or after lower-casing), and all texts where the tokenizer's rules are
+    not those that this rests on.  ``most`` bounds each generation of the cache.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.most, self.known, self.pieces = most, {}, {}
-        model = json.loads(self.tokenizer.to_str())
-        suffix = model["model"].get("end_of_word_suffix")
-        self.plain = None
-        if suffix and model["normalizer"] and _SPLIT in json.dumps(model["pre_tokenizer"], ensure_ascii=False):
-            model["normalizer"] = None
-            model["added_tokens"] = []
-            space = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
-            level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-            model["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [space, level]}
-            self.plain = Tokenizer.from_str(json.dumps(model))
-            self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-            for token, i in model["model"]["vocab"].items():
-                self.last[i] = token.endswith(suffix)
-
-    def _learn_whole(self, words: list[str]) -> None:
-        """By the tokenizer itself; offsets tell which ids belong to which word."""
-        for start in range(0, len(words), 512):
-            part = words[start : start + 512]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in part])
-            owner = np.searchsorted(ends, np.array([o[0] for o in found.offsets], dtype=np.int64), side="right")
-            ids = np.array(found.ids, dtype=self.type)
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            for i, word in enumerate(part):
-                self.known[word] = ids[cuts[i] : cuts[i + 1]].tobytes()
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        """By the bare model; each piece ends with the one id that ends a word."""
-        width = self.type.itemsize
-        for start in range(0, len(pieces), 512):
-            part = pieces[start : start + 512]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.type)
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * width).tolist()
-            if len(ends) != len(part):
-                raise ValueError("a piece of letters or of marks must be one word of the model")
-            raw, at = ids.tobytes(), 0
-            for piece, end in zip(part, ends, strict=True):
-                self.pieces[piece] = raw[at:end]
-                at = end
-
-    def _learn(self, words: list[str]) -> None:
-        if not self.plain:
-            return self._learn_whole(words)
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        whole, cut = [], {}
-        for word in words:
-            m = _SHAPE.fullmatch(word)
-            if m and unicodedata.is_normalized("NFC", word) and "Σ" not in word and "<|" not in word:
-                low = m[1].lower()
-                if len(low) == len(m[1]):
-                    cut[word] = (low, m[2])
-                    continue
-            whole.append(word)
-        new = {p for pair in cut.values() for p in pair if p}.difference(self.pieces)
-        self._learn_pieces(list(new))
-        pieces = self.pieces
-        for word, (low, marks) in cut.items():
-            self.known[word] = pieces[low] + pieces[marks] if marks else pieces[low]
-        return self._learn_whole(whole)
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        rules = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        names = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        fits = names == ["NFC", "Replace", "Lowercase"] and _SPLIT in json.dumps(rules["pre_tokenizer"], ensure_ascii=False)
+        self.known = _Known(self.tokenizer, self.code, most) if fits and rules["model"].get("end_of_word_suffix") else None
+
+    def _plain(self, text: str) -> str | None:
+        """The text in lower case, or None if it has to go through the tokenizer whole."""
+        if self.known is None or _ODD.search(text) or not is_normalized("NFC", text) or any(t in text for t in self.special):
+            return None
+        # a final sigma is Python's own rule, not the tokenizer's
+        low = text.replace("Σ", "σ").lower()
+        return low if low.isascii() or is_normalized("NFC", low) else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``type``."""
-        split = [[] if t is None or _ODD.search(t) else t.split() for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        parts = [list(map(known.get, words)) for words in split]
-        lacking = [i for i, part in enumerate(parts) if None in part]
-        if lacking:
-            self._learn(list({w for i in lacking for w, part in zip(split[i], parts[i], strict=True) if part is None}))
-            for i in lacking:
-                parts[i] = list(map(known.__getitem__, split[i]))
-        out = [b"".join(part) for part in parts]
+        low = [self._plain(t) if t else "" for t in texts]
+        cut = pc.replace_substring_regex(pa.array(low, pa.string()), r"(\pL)([^\s\pL\pN])", r"\1 \2")
+        words = pc.utf8_split_whitespace(cut.fill_null(""))
+        coded = words.values.dictionary_encode()
+        ids = [self.known[w] for w in coded.dictionary.to_pylist()] if self.known is not None else [b""] * len(coded.dictionary)
+        if self.known is not None:
+            self.known.trim()
+        width = self.type.itemsize
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        first = np.cumsum(size) - size
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        each = size[number]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        all_ = np.frombuffer(b"".join(ids), self.type)
+        raw = all_[np.repeat(first[number] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        at = (ends[words.offsets.to_numpy()] * width).tolist()
+        out = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         for i, t in enumerate(texts):
-            if t and not split[i] and _ODD.search(t):
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=self.type).tobytes()
+            if t and low[i] is None:
+                out[i] = array(self.code, self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
         return out
 
 
