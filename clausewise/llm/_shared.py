@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset (a
-    single-machine session, as in tests) a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and all
+    runs in one process (as in tests) a temporary folder takes its place; on a
+    cluster an unset one is an error, since executors could not see such a folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="clausewise-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -98,15 +104,13 @@ def batches(columns: dict[str, pa.DataType]) -> Callable[[dict[str, list]], pa.R
 def small_slices(stream: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of ``column`` at the most, one row at least."""
     for batch in stream:
-        start, held = 0, 0
-        sizes = [0 if v is None else len(v) for v in batch.column(column).to_pylist()] if batch.get_total_buffer_size() > most else []
-        for i, size in enumerate(sizes):
-            if held and held + size > most:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += size
-        if batch.num_rows > start:
-            yield batch.slice(start)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def partition_id() -> int:
@@ -115,5 +119,5 @@ def partition_id() -> int:
 
 
 def held_out(column: str = "doc_id"):
-    """Whether a row belongs to the fold that no model may learn from."""
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether a row belongs to the fold that no model may learn from; a null id counts as empty text, so it does."""
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
