@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The backslash first: afterwards one stands in escapes only.
+_ROLE_ESCAPES = (("\\", "\\s"), ('"', "\\q"), ("<", "\\l"))
+
+
 @dataclass(frozen=True)
 class Template:
     """What a formatted conversation looks like and which text is learned.
@@ -51,12 +55,16 @@ class Template:
 
     @staticmethod
     def _role(role: Column) -> Column:
-        """Roles stand inside quotation marks: neither mark nor backslash may be left in one."""
-        return F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit('"'), F.lit("\\q"))
+        """Roles stand inside quotation marks and before no escape: no mark, no backslash and no ``<`` may be left in one."""
+        for plain, written in _ROLE_ESCAPES:
+            role = F.replace(role, F.lit(plain), F.lit(written))
+        return role
 
     @staticmethod
     def _unrole(role: Column) -> Column:
-        return F.replace(F.replace(role, F.lit("\\q"), F.lit('"')), F.lit("\\s"), F.lit("\\"))
+        for plain, written in reversed(_ROLE_ESCAPES):
+            role = F.replace(role, F.lit(written), F.lit(plain))
+        return role
 
 
 def format_conversations(

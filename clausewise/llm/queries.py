@@ -103,7 +103,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
-    probe = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit(hard).alias("text"))
     back = read_back(format_conversations(turns.unionByName(probe)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join("learned", "")
@@ -135,12 +136,13 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 w AS (
   SELECT conv_id, count(*) AS n_turns,
-         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
-         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
-         sum(length('<turn role="">' || '</turn>') + 2 + length(role)
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
+         sum(length('<turn role="">' || '</turn>') + 2
+             + length(replace(replace(replace(role, '\', '\s'), '"', '\q'), '<', '\l'))
              + length(regexp_replace(text, '<(\\*/?turn)', '<\\\1', 'g'))) AS formatted_chars,
          string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' WHEN 'tool' THEN 't' ELSE 'x' END,
-                    '' ORDER BY turn, role, text) AS path
+                    '' ORDER BY turn NULLS FIRST, role, text) AS path
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
        CAST(formatted_chars AS BIGINT) AS formatted_chars,
