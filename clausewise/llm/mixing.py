@@ -87,26 +87,30 @@ def mix(
     without tokens cost nothing: they are in every whole permutation and, if there
     is none, in the prefix where their hash puts them.  A null source is a source
     of its own; null ids and null texts are allowed; repeated rows are rows of
-    their own with one common place; an empty table gives an empty table; other
+    their own with one common place, in or out of the prefix together; an empty table gives an empty table; other
     columns pass unchanged, but columns of ``docs`` named like the added ones give
     way to them.
 
     The prefix is found without ordering a source in one task: token totals by
     (source, hash bucket) are summed along the buckets, which tells for all buckets
-    but one per source whether they are in; only that one is ordered.
+    but one per source whether they are in; that one is cut into as many finer ones
+    in the same way, and only narrow rows of one of these are ordered.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     columns = [c for c in docs.columns if c not in ADDED]
     whole = F.struct(*[F.col(f"`{c}`") for c in columns])
     named = docs.select(
         F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(_NULL)).alias("s"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id}`"), F.col(f"`{source}`")), 1).alias("h"),
-        count_tokens(F.col(f"`{text}`")).alias("n"),
-        F.col(f"`{id}`").alias("id"),
+        F.shiftrightunsigned(F.when(F.col(f"`{id}`").isNull(), F.xxhash64(F.lit(seed), whole)).otherwise(F.xxhash64(F.lit(seed), F.col(f"`{id}`"), F.col(f"`{source}`"))), 1).alias("h"),
+        F.col(f"`{text}`").alias("text"),
         whole.alias("row"),
     )
-    bucket = F.shiftright("h", 63 - (BUCKETS - 1).bit_length()).cast("int")
-    sums = scratch.keep(named.groupBy("s", bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")))
+    counted = count_tokens(F.col("text")).alias("n")
+    bits = (BUCKETS - 1).bit_length()
+    bucket = F.shiftright("h", 63 - bits).cast("int")
+    # another 12 bits of the same hash: the buckets within a bucket
+    finer = F.shiftright("h", 63 - 2 * bits).bitwiseAND(BUCKETS - 1).cast("int")
+    sums = scratch.keep(named.select("s", "h", counted).groupBy("s", bucket.alias("b")).agg(F.sum("n").alias("n")))
     every = sums.groupBy("s").agg(F.sum("n").alias("tokens"))
     total = every.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     shares = scratch.keep(every.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total or 1))))
@@ -128,22 +132,31 @@ def mix(
         F.when(F.col("tokens") > 0, goal % F.greatest("tokens", F.lit(1))).otherwise(0).cast("long").alias("rest"),
     )
     along = W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    cut = (
-        sums.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
-        .join(plan, "s")
-        .where((F.col("rest") > 0) & (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
-        .groupBy("s")
-        .agg(F.min(F.struct("b", "before")).alias("c"))
-        .select("s", F.col("c.b").alias("cut"), F.col("c.before").alias("before"))
-    )
-    plan = scratch.keep(plan.join(cut, "s", "left"))
-    joined = named.withColumn("b", bucket).join(plan, "s")
-    # no boundary bucket: the budget ends with a whole block
-    plain = joined.where(F.col("cut").isNull() | (F.col("b") != F.col("cut"))).withColumn("more", F.coalesce(F.col("b") < F.col("cut"), F.lit(False)))
-    inside = W.partitionBy("s").orderBy("h", "id", F.xxhash64("row")).rowsBetween(W.unboundedPreceding, 0)
-    edge = joined.where(F.col("b") == F.col("cut")).withColumn("more", F.col("before") + F.sum("n").over(inside) <= F.col("rest"))
+
+    def boundary(totals: DataFrame, cut: str, before: str) -> DataFrame:
+        """The first bucket of each source in which the budget ends, and the tokens before it; none if it ends with a whole block."""
+        summed = totals.withColumn("t", F.col("start") + F.coalesce(F.sum("n").over(along), F.lit(0)))
+        inside = (F.col("rest") > 0) & (F.col("t") <= F.col("rest")) & (F.col("t") + F.col("n") > F.col("rest"))
+        return summed.where(inside).groupBy("s").agg(F.min(F.struct("b", "t")).alias("c")).select("s", F.col("c.b").alias(cut), F.col("c.t").alias(before))
+
+    plan = scratch.keep(plan.join(boundary(sums.join(plan, "s").withColumn("start", F.lit(0)), "cut", "before"), "s", "left"))
+    ends = plan.where("cut IS NOT NULL").select("s", "cut", "before", "rest")
+    # the bucket where a budget ends is cut again, and then ordered: narrow rows, one in 16 million of a source
+    within = named.withColumn("at", bucket).join(ends, "s").where(F.col("at") == F.col("cut"))
+    narrow = scratch.keep(within.select("s", "h", counted, F.xxhash64("row").alias("r"), finer.alias("b"), F.col("before").alias("start"), "rest"))
+    fine = narrow.groupBy("s", "b", "start", "rest").agg(F.sum("n").alias("n"))
+    last = narrow.drop("start").join(boundary(fine, "cut2", "start"), "s").where(F.col("b") == F.col("cut2"))
+    order = W.partitionBy("s").orderBy("h", "r").rowsBetween(W.unboundedPreceding, 0)
+    # the last hash and row that are in; equal rows share one, and are in together or not at all
+    row = last.groupBy("s", "h", "r", "start", "rest").agg(F.sum("n").alias("n"))
+    kept = row.withColumn("t", F.col("start") + F.sum("n").over(order)).where(F.col("t") <= F.col("rest"))
+    edge = kept.groupBy("s").agg(F.max(F.struct("h", "r")).alias("edge"))
+    plan = scratch.keep(plan.join(boundary(fine, "cut2", "start").select("s", "cut2"), "s", "left").join(edge, "s", "left"))
+    place, here = F.struct(bucket.alias("b"), finer.alias("f")), F.struct(F.col("cut").alias("b"), F.col("cut2").alias("f"))
+    before_ = (place < here) | ((place == here) & (F.struct("h", F.xxhash64("row").alias("r")) <= F.col("edge")))
+    taken = named.select("s", "h", counted, "row").join(plan, "s").withColumn("more", F.coalesce(F.col("cut").isNotNull() & before_, F.lit(False)))
     blocks = F.col("full") + F.col("more").cast("long")
-    taken = plain.unionByName(edge).where(blocks > 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    taken = taken.where(blocks > 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     return taken.select(
         "row.*",
         F.col("block").alias("mix_block"),
