@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,16 +20,23 @@ from clausewise.session import map_batches
 _HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝкмтвнαορεικνυτχ", "aeopcyxijshdqwkmtbhaopeiknutx", strict=True))
 #: Digits and marks that stand for letters inside words.
 _DIGITS = dict(zip("0134578@$!|", "oieastbasil", strict=True))
-_FOLD = {ord(a): b for a, b in _HOMOGLYPHS.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)}
-_FOLD |= {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
-
-#: Written by hand: words to start from, and phrases in which lexicon words are harmless.
-SEED: dict[str, float] = dict.fromkeys(
-    "idiot moron stupid loser scum worthless pathetic disgusting trash clown imbecile cretin vermin degenerate".split(), 2.0
-)
+_FOLD = {ord(a): b for a, b in _HOMOGLYPHS.items()}
+#: Invisible characters, and marks that are put on top of letters.
+_FOLD |= dict.fromkeys([0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF, *range(0x300, 0x370), *range(0x20D0, 0x2100)])
+
+#: Written by hand: words to start from by weight, in the four languages, and phrases in which lexicon words are harmless.
+_SEEDS: dict[float, str] = {
+    1.5: "stupid pathetic disgusting loser clown trash ridicule débile bouffon estúpido patético ridículo dämlich lächerlich blöde",
+    2.0: "idiot imbecile dumbass worthless degenerate vermin imbécile abruti ordure crétin idiota imbécil tarado payaso dummkopf trottel versager",
+    2.5: "moron cretin scum scumbag connard enfoiré pourriture gilipollas escoria malnacido vollidiot abschaum drecksack arschloch",
+}
+SEED: dict[str, float] = {word: weight for weight, words in _SEEDS.items() for word in words.split()}
+#: Of these the beginning alone says nothing.
+WHOLE = frozenset("trash clown scum loser ridicule ordure payaso escoria blöde".split())
 EXCEPTIONS: tuple[str, ...] = (
     "trash can", "trash bin", "trash folder", "clown fish", "sore loser trophy", "not stupid", "not worthless", "pond scum",
-    "idiot proof", "class clown award",
+    "idiot proof", "class clown award", "cercopithecus moron", "trash talk", "white trash bag", "trash bag", "trash pickup", "clown car",
+    "clown nose", "stupid easy", "ordure ménagère", "payaso de circo", "tourner en ridicule",
 )
 
 
@@ -42,9 +50,11 @@ def _letters_for_digits(word: str) -> str:
 
 def fold(text: str) -> str:
     """Lower case, one space between words, look-alikes and digits inside words as letters."""
-    low = text.lower()
-    if not low.isascii():
-        low = low.translate(_FOLD)
+    if text.isascii():
+        low = text.lower()
+    else:
+        # full-width, mathematical and circled letters and digits are plain ones first
+        low = unicodedata.normalize("NFKC", text).lower().translate(_FOLD)
     words = low.split()
     if any(c in low for c in _DIGITS):
         words = [_letters_for_digits(w) for w in words]
@@ -56,7 +66,7 @@ class Lexicon:
     """Entries match where a word starts; ``whole`` ones only if the word also ends there."""
 
     weights: dict[str, float] = field(default_factory=lambda: dict(SEED))
-    whole: frozenset[str] = frozenset()
+    whole: frozenset[str] = WHOLE
     exceptions: tuple[str, ...] = EXCEPTIONS
     bias: float = -3.0
     slope: float = 3.0
@@ -114,23 +124,23 @@ def fit(
     text: str = "text",
     label: str = "toxic",
     most: int = 4000,
-    entries: int = 500,
     least: int = 8,
     support: float = 0.04,
-    rounds: int = 4,
     noise: float = 0.06,
     odds: float = 5.0,
 ) -> Lexicon:
     """A lexicon from labelled rows outside the held-out fold.
 
-    At most ``most`` rows of either label are read (those with the smallest
-    hashes of their ids, so the sample doesn't depend on order).  The lexicon grows
-    by covering: of the toxic rows that no entry matches yet, words and starts of
+    At most ``most`` ids of either label are read (those with the smallest
+    hashes, so the sample doesn't depend on order), of several rows of one id the
+    smallest text; an id with both labels counts once for each.  The lexicon grows by
+    covering: of the toxic rows that no entry matches yet, words and starts of
     four or five letters that ``support`` of them hold (``least`` rows at least) get
-    these odds as weights and become entries, up to ``entries`` in
-    each of ``rounds`` rounds, until fewer than ``noise`` of all toxic rows are
-    left, which count as wrongly labelled.  So words that copies of one toxic text share are not
-    learned.  With no labels the hand-written lexicon stays.
+    these odds as weights and become entries, until there are none or fewer than
+    ``noise`` of all toxic rows are left, which count as wrongly labelled.  So words
+    that copies of one toxic text share are not learned, and the number of entries
+    is bounded by the sample's words over ``support``.  With no labels the
+    hand-written lexicon stays.
     """
     spark = docs.sparkSession
     known = labels.where(~held_out(id) & F.col(id).isNotNull()).selectExpr(f"`{id}` AS doc_id", f"CAST(`{label}` AS int) AS y").where("y IN (0, 1)")
@@ -142,10 +152,11 @@ def fit(
     # at most two times ``most`` ids and labels, so that the texts stay where they are
     chosen = F.broadcast(of(1).unionByName(of(0)))
     scratch = Scratch(spark, "toxic")
-    sample = scratch.keep(docs.selectExpr(f"`{id}` AS doc_id", f"`{text}` AS text").join(chosen, "doc_id"))
+    sample = docs.selectExpr(f"`{id}` AS doc_id", f"`{text}` AS text").join(chosen, "doc_id")
+    sample = scratch.keep(sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")))
     make = batches({"feature": pa.string(), "y": pa.int32(), "n": pa.int64()})
-    lexicon = Lexicon()
-    for _ in range(rounds):
+    lexicon, left = Lexicon(), None
+    while True:
         key = lexicon.key()
 
         def count(stream: Iterator[pa.RecordBatch], key: tuple = key) -> Iterator[pa.RecordBatch]:
@@ -167,12 +178,12 @@ def fit(
             map_batches(sample, count, "feature string, y int, n long").groupBy("feature").agg(held(1).alias("p"), held(0).alias("q")).where(F.col("p") >= least)
         )
         total = counts.where("feature = '#'").first()
-        if not total or total["p"] < noise * min(most, sizes[1]):
+        if not total or total["p"] < noise * min(most, sizes[1]) or total["p"] == left:
             break
+        left = total["p"]
         weight = F.log((F.col("p") + 0.5) / (total["p"] + 1)) - F.log((F.col("q") + 0.5) / (total["q"] + 1))
-        # at most ``entries`` rows reach the driver
         strong = counts.where((F.col("feature") != "#") & (F.col("p") >= support * total["p"])).withColumn("w", weight).where(F.col("w") > odds)
-        rows = strong.orderBy(F.desc("w"), "feature").limit(entries).collect()
+        rows = strong.orderBy(F.desc("w"), "feature").collect()
         starts = {r["feature"][1:] for r in rows if r["feature"][0] == "^"}
         whole = set()
         for r in rows:
@@ -201,7 +212,8 @@ def _logistic(xs: list[float], ys: list[int]) -> tuple[float, float]:
     import numpy as np
 
     x, y = np.log1p(np.array(xs)), np.array(ys, dtype=float)
-    if len(set(ys)) < 2:
+    if len(set(ys)) < 2 or not x.any():
+        # nothing to learn from: what the hand-written lexicon starts with
         return -3.0, 3.0
     w = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     a, b = 0.0, 0.0
@@ -227,8 +239,9 @@ def score(docs: DataFrame, lexicon: Lexicon, *, id: str = "doc_id", text: str =
     """Toxicity of every whole text: ``doc_id, strength, hits, score``.
 
     ``score`` is a logistic function of the normalised strength, from 0 to 1.  Null
-    and empty texts have no hits and the score of clean texts.  Ids are passed on
-    as they are; ``keep`` names whole-number columns to pass on; others are
+    and empty texts have no hits and the score of clean texts; a text of any length
+    is folded and matched whole; repeated rows are scored once each.  Ids are passed
+    on as they are; ``keep`` names whole-number columns to pass on; others are
     ignored; an empty table gives an empty table.
     """
     source = docs.selectExpr(f"`{id}` AS doc_id", f"`{text}` AS text", *[f"CAST(`{k}` AS long) AS `{k}`" for k in keep])
