@@ -96,7 +96,8 @@ def near_vectors(
     Equal vectors of one label form one group first, so copies are never compared.
     Each group's vector goes to every spherical-cap filter that holds it,
     ``per_vector`` on average; the number of filters grows with the largest label so
-    that about ``crowd`` unrelated vectors share one.  Groups that share a filter are
+    that about ``crowd`` unrelated vectors share one (a task then holds two codebooks
+    of the root of that number: 100 MB for a label of a thousand million vectors).  Groups that share a filter are
     compared exactly in double precision; a pair counts under its first common
     filter only.  A filter with many vectors is cut into blocks, and pairs of blocks
     are compared in tasks of bounded size, so no filter is gathered anywhere.
@@ -133,7 +134,7 @@ def near_vectors(
     plans = {}
     for r in sizes:
         share = min(0.25, crowd / max(r["n"], 1))
-        codes = int(np.clip(np.ceil(np.sqrt(per_vector / share)), 16, 32768))
+        codes = max(16, int(np.ceil(np.sqrt(per_vector / share))))
         plans[r["d"]] = (codes, per_vector / codes**2)
     find = batches({"g": pa.int64(), "filters": pa.list_(pa.int64())})
 
