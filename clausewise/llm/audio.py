@@ -39,6 +39,22 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+# Layer II bit allocation fields (ISO 11172-3 tables 3-B.2, ISO 13818-3 table B.1): widths by subband
+_WIDE = (4,) * 11 + (3,) * 12 + (2,) * 7
+_NARROW = (4,) * 2 + (3,) * 10
+_LOW = (4,) * 4 + (3,) * 7 + (2,) * 19
+
+
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The checksum of the first ``bits`` bits."""
+    whole, rest = divmod(bits, 8)
+    crc = crc16(data[:whole])
+    for k in range(rest):
+        bit = (data[whole] >> (7 - k) ^ crc >> 15) & 1
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if bit else 0)
+    return crc
+
+
 @dataclass(frozen=True)
 class Header:
     layer: int
@@ -48,6 +64,31 @@ class Header:
     samples: int
     size: int
     side: int
+    kbps: int = 0
+    channels: int = 1
+    bound: int = 32
+
+    def covered(self, body: bytes) -> int:
+        """How many bits behind the checksum it covers: Layer III's side information, else the bit allocation and, in Layer II, the selection of scale factors."""
+        if self.layer == 3:
+            return 8 * self.side
+        if self.layer == 1:
+            return 4 * (self.bound * self.channels + 32 - self.bound)
+        each = self.kbps // self.channels
+        if self.version != 3:
+            widths = _LOW
+        elif each in (32, 48):
+            widths = _NARROW[: 12 if self.hz == 32000 else 8]
+        else:
+            widths = _WIDE[: 30 if self.hz != 48000 and each >= 96 else 27]
+        value, at, picked = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 0, 0
+        for k, width in enumerate(widths):
+            fields = self.channels if k < self.bound else 1
+            for _ in range(fields):
+                at += width
+                if value >> (512 - at) & ((1 << width) - 1):
+                    picked += self.channels // fields
+        return at + 2 * picked
 
 
 _headers: dict[bytes, Header | None] = {}
@@ -66,9 +107,11 @@ def header(four: bytes) -> Header | None:
             kbps, freq = _KBPS[lsf, layer][rate], _HZ[version][hz]
             samples = 384 if layer == 1 else 1152 if layer == 2 or not lsf else 576
             size = (12000 * kbps // freq + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // freq + pad
-            mono = four[3] >> 6 == 3
+            mode, extension = four[3] >> 6, four[3] >> 4 & 3
+            mono = mode == 3
+            bound = 4 + 4 * extension if mode == 1 and layer < 3 else 32
             side = (17 if mono else 32, 9 if mono else 17)[lsf] if layer == 3 else 0
-            found = Header(layer, version, not four[1] & 1, freq, samples, size, side)
+            found = Header(layer, version, not four[1] & 1, freq, samples, size, side, kbps, 1 if mono else 2, bound)
     if len(_headers) < 4096:
         _headers[four] = found
     return found
@@ -164,11 +207,14 @@ def parse(data: bytes) -> Stream:
                     first, at = False, stop
                     continue
                 first = False
-                if h.guarded and h.layer == 3:
-                    covered = four[2:] + data[at + 6 : at + 6 + h.side]
-                    want = crcs.get(covered)
+                if h.guarded:
+                    bits = h.covered(data[at + 6 : at + 70])
+                    covered = four[2:] + data[at + 6 : at + 6 + (bits + 7) // 8]
+                    want = crcs.get((covered, bits))
                     if want is None:
-                        want = crcs[covered] = crc16(covered).to_bytes(2, "big")
+                        want = crc16_bits(covered, 16 + bits).to_bytes(2, "big") if len(covered) * 8 >= 16 + bits else b""
+                        if len(crcs) < 4096:
+                            crcs[covered, bits] = want
                     out.bad_crc += want != data[at + 4 : at + 6]
                 out.offsets.append(at)
                 out.sizes.append(h.size)
@@ -227,7 +273,7 @@ def payload_of(data: bytes, stream: Stream) -> bytes:
 
 
 def store_as_audio(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text's UTF-8 bytes as an MPEG audio stream: ``doc_id, media``.
+    """Each text's UTF-8 bytes as an MPEG audio stream: ``doc_id, media``.  Repeated rows give repeated streams; a text of any length is one stream.
 
     The bytes are filled up with 255 to a positive multiple of 576; the tag
     ``bytes`` holds their number before.  Null texts count as empty and make one
@@ -257,7 +303,9 @@ def audio_columns(media: DataFrame, *, id: str = "doc_id", column: str = "media"
     ``table_frames, table_bytes`` (what the variable-bitrate table claims, or null),
     ``tags`` (map), ``seek`` (array of the byte offset of every frame), ``payload``
     (binary, the ancillary bytes), ``media_bytes``, ``media_sha256``.  Null, empty
-    and damaged streams give rows with what could be read, never an error.
+    and damaged streams give rows with what could be read, never an error.  Repeated
+    rows are read once each, a stream of any length is read whole, and other columns
+    are ignored, whatever their names.
     """
     source = media.selectExpr(f"`{id}` AS doc_id", f"`{column}` AS media")
     ints = ("frames", "samples", "hz", "bad_crc", "skipped", "table_frames", "table_bytes", "media_bytes")

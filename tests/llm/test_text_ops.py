@@ -62,6 +62,9 @@ def test_folding_and_matches():
     assert found("you 1d10t, a vequtais") == ["idiot", "vequ"]
     assert found("put it in the trash can") == [] and found("trashy") == [] and found("trash!") == ["trash"]
     assert found("unidiot") == [] and found("") == []
+    for disguised in ("𝗶𝗱𝗶𝗼𝘁", "ｉｄｉｏｔ", "id\u0336io\u0332t", "i\u200bdiot", "ⓘⓓⓘⓞⓣ", "іdіоt"):
+        assert found(f"an {disguised}!") == ["idiot"], disguised
+    assert {w for w, x in lexicon.SEED.items() if x != 2.0} and lexicon.WHOLE <= set(lexicon.SEED)
 
 
 def labelled(spark, n=240):
@@ -113,11 +116,21 @@ def test_votes_are_exact():
     x = v[:50].astype(np.float32)
     for row, got in zip(x, m.vote(x, block=7), strict=True):
         c = np.clip((m.vectors @ row).astype(float), 0, 1)
-        near = np.argsort(-(m.vectors @ row))[: m.k]
+        c = np.clip(np.round((m.vectors @ row).astype(float), 5), 0, 1)
+        near = np.flatnonzero(c >= np.sort(c)[-m.k])
         w = c[near] ** m.power + 1e-9
         assert abs((w * m.labels[near]).sum() / w.sum() - got) < 1e-5
 
 
+def test_ties_vote_together_and_shapes_are_whole():
+    v = np.array([[1.0, 0.0]] * 30 + [[0.0, 1.0]] * 5, dtype=np.float32)
+    m = quality.Neighbours(np.ones(2), np.zeros(2), np.eye(2), v, np.array([1.0] * 12 + [0.0] * 18 + [1.0] * 5), 0.5)
+    assert m.vote(np.array([[1.0, 0.0]] * 3, dtype=np.float32), block=2) == pytest.approx([12 / 30] * 3)
+    assert quality._shape("a1b2c3d4e5") != quality._shape("a1b2c3d4XX!!") and quality._shape("École99--X") == quality._shape("école12345--y".replace("y", "Z"))
+    t = quality.Terms()
+    assert t.count("one two").any() and not t.count(None).any() and (t.count("alpha beta") != t.count("gamma zeta")).any()
+
+
 def test_audio_round_trip_and_damage(spark, docs):
     rows = audio.audio_columns(audio.store_as_audio(docs)).collect()
     assert len(rows) == len(ROWS)
@@ -155,6 +168,45 @@ def test_audio_keeps_a_payload_that_looks_like_a_tag():
     assert s.skipped == 4 + 672  # the last frame has no valid follower, as before
 
 
+def slow_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        top = crc >> 15 & 1
+        crc = crc << 1 & 0xFFFF
+        if top ^ b:
+            crc ^= 0x8005
+    return crc
+
+
+@pytest.mark.parametrize("four", [b"\xff\xfe\xc4\xc0", b"\xff\xfe\xc4\x00", b"\xff\xfe\xc4\x50", b"\xff\xfc\xc4\xc0", b"\xff\xfc\xa4\x60", b"\xff\xfc\x14\xc0", b"\xff\xfc\x18\xc0", b"\xff\xf4\x84\x00"])
+def test_checksums_of_layers_one_and_two(four):
+    rng = np.random.default_rng(5)
+    h = audio.header(four)
+    assert h.guarded and h.layer in (1, 2)
+    for _ in range(20):
+        body = rng.integers(0, 256, h.size - 6, dtype=np.uint8).tobytes()
+        bits = [int(b) for x in four[2:] + body for b in f"{x:08b}"]
+        # what the layer's own order of fields covers, read bit by bit
+        if h.layer == 1:
+            n = 16 + (128 if h.channels == 1 else 4 * (2 * h.bound + 32 - h.bound))
+        else:
+            widths = audio._LOW if h.version != 3 else audio._NARROW[: 12 if h.hz == 32000 else 8] if h.kbps // h.channels in (32, 48) else audio._WIDE[: 30 if h.hz != 48000 and h.kbps // h.channels >= 96 else 27]
+            n, chosen = 16, 0
+            for k, w in enumerate(widths):
+                for c in range(h.channels if k < h.bound else 1):
+                    if any(bits[n : n + w]):
+                        chosen += 1 if k < h.bound else h.channels
+                    n += w
+            n += 2 * chosen
+        crc = slow_crc(bits[:n]).to_bytes(2, "big")
+        frame = four + crc + body
+        assert audio.parse(frame * 3).bad_crc == 0 and len(audio.parse(frame * 3).offsets) == 3
+        broken = bytearray(frame)
+        broken[6] ^= 0x80
+        assert audio.parse(bytes(broken) * 3).bad_crc == 3
+    assert audio.crc16_bits(b"\x12\x34\x50", 20) == slow_crc([int(b) for b in f"{0x12345:020b}"])
+
+
 def test_packing_round_trip(spark, docs):
     tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
