@@ -83,9 +83,10 @@ def chunk_articles(articles: DataFrame, size: int = MAX_CHARS, overlap: int = OV
     )
     article = F.concat(F.lit("Article "), "article_number", F.when(has("article_title"), F.concat(F.lit(" — "), "article_title")).otherwise(""))
     label = F.when(statute, article).otherwise(F.concat(F.when(has("document_label"), F.col("document_label")).otherwise("Document"), item(" (", ")")))
-    return rows.select(
+    # numbers that grow along the corpus, by ranges of documents, without one task that counts
+    return rows.orderBy("doc_id", "seq", "chunk_index").select(
         F.concat(prefix, F.lit("-"), F.col("chunk_index").cast("string")).alias("id"),
-        (F.xxhash64("doc_id").bitwiseAND(0x3FFF_FFFF) * (1 << 32) + F.col("seq") * (1 << 16) + F.col("chunk_index")).alias("pos"),
+        F.monotonically_increasing_id().alias("pos"),
         F.concat("regulation", F.lit(", "), label, F.lit(":\n"), "_piece").alias("text"),
         "regulation",
         "article_number",

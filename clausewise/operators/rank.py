@@ -6,15 +6,20 @@ query.  A ranked list has query_id, rank (from 1), id and score.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from clausewise.functions.text import cosine, is_statute, requested_articles, tokenize
+from clausewise.functions.text import is_statute, requested_articles, tokenize
+from clausewise.session import map_batches
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -23,9 +28,24 @@ PER_ARTICLE, PER_DOCUMENT = 3, 2
 DIGITS = 6
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(id, term, tf); one partially aggregated shuffle over the corpus."""
-    return chunks.select("id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+#: What a posting carries of its chunk, so that a search needs no other table.
+CARRIED = ("id", "pos", "regulation", "doc_type")
+
+
+def _tokens(chunks: DataFrame) -> DataFrame:
+    return chunks.select(*[c for c in CARRIED if c in chunks.columns], tokenize(F.col("text")).alias("tokens"))
+
+
+def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, tf, dl) of each chunk with what it carries; only of terms in ``wanted`` (term) if given.
+
+    The cut comes before the count, so a search moves only what its questions ask for.
+    """
+    carried = [c for c in CARRIED if c in chunks.columns]
+    rows = _tokens(chunks).select(*carried, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if wanted is not None:
+        rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy(*carried, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def document_lengths(chunks: DataFrame) -> DataFrame:
@@ -37,13 +57,15 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
+def term_stats(chunks: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf): negative ones become a share of the mean of all raw ones.
 
-    The mean is one number, so it comes by a broadcast of one row.
+    Terms are made distinct within each chunk's row, so one partially aggregated
+    shuffle by term is all; the mean is one number and comes by a broadcast.
     """
     raw = (
-        posted.groupBy("term")
+        chunks.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
+        .groupBy("term")
         .agg(F.count("*").alias("df"))
         .join(F.broadcast(stats.select("n")))
         .withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -55,25 +77,56 @@ def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings, lengths and statistics of a corpus, for any number of searches."""
+    """Statistics of a corpus, and its postings if they are stored, for any number of searches."""
 
-    postings: DataFrame
-    lengths: DataFrame
+    chunks: DataFrame
     terms: DataFrame
     stats: DataFrame
+    stored: DataFrame | None = None
+
+    def scores(self, queries: DataFrame, condition: Column | None = None) -> DataFrame:
+        """(query_id, id, pos, score) of every allowed chunk that has a term of the question.
+
+        Statistics are those of the whole corpus, whatever is filtered.
+        """
+        wanted = query_terms(queries).join(self.terms, "term")
+        rows = self.chunks if self.stored is None else self.stored
+        rows = rows if condition is None else rows.where(condition)
+        posted = postings(rows, wanted) if self.stored is None else rows
+        weight = F.col("idf") * F.col("n_q") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        return (
+            posted.join(wanted, "term")
+            .join(F.broadcast(self.stats.select("avgdl")))
+            .groupBy("query_id", "id", "pos")
+            .agg(F.round(F.sum(weight), DIGITS).alias("score"))
+        )
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        return bm25_scores(queries, self.postings, self.lengths, self.terms, self.stats)
+    def save(self, path: str) -> None:
+        """Postings sorted by term, so that a search reads the row groups of its terms, and both statistics."""
+        postings(self.chunks).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+    def release(self) -> None:
+        """Lets go of what ``lexical_index`` kept."""
+        for table in (self.terms, self.stats, self.stored):
+            if table is not None:
+                table.unpersist()
 
 
 def lexical_index(chunks: DataFrame, keep: bool = False) -> LexicalIndex:
-    """The index of ``chunks``; with ``keep`` its tables stay with the executors between searches."""
-    posted, lengths = postings(chunks), document_lengths(chunks)
-    if keep:
-        posted, lengths = posted.persist(), lengths.persist()
-    stats = corpus_stats(lengths)
-    terms = term_stats(posted, stats)
-    return LexicalIndex(posted, lengths, *(x.persist() if keep else x for x in (terms, stats)))
+    """The index of ``chunks``; with ``keep`` its tables stay with the executors between searches, until ``release``."""
+    stats = corpus_stats(document_lengths(chunks))
+    if not keep:
+        return LexicalIndex(chunks, term_stats(chunks, stats), stats)
+    stats = stats.persist()
+    return LexicalIndex(chunks, term_stats(chunks, stats).persist(), stats, postings(chunks).persist())
+
+
+def open_index(chunks: DataFrame, path: str) -> LexicalIndex:
+    """A stored index of ``chunks``."""
+    read = chunks.sparkSession.read
+    return LexicalIndex(chunks, *(read.parquet(f"{path}/{t}") for t in ("terms", "stats", "postings")))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -81,23 +134,6 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n_q"))
 
 
-def bm25_scores(queries: DataFrame, posted: DataFrame, lengths: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, id, score) of every chunk that has a term of the question.
-
-    Statistics are those of the whole corpus, whatever is filtered afterwards.  The
-    postings are cut to terms of some question before anything else happens.
-    """
-    wanted = query_terms(queries).join(terms, "term")
-    weight = F.col("idf") * F.col("n_q") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return (
-        posted.join(wanted, "term")
-        .join(lengths, "id")
-        .join(F.broadcast(stats.select("avgdl")))
-        .groupBy("query_id", "id")
-        .agg(F.round(F.sum(weight), DIGITS).alias("score"))
-    )
-
-
 def allowed(regulations: Sequence[str] | str | None = None, doc_types: Sequence[str] | str | None = None) -> Column:
     """The metadata predicate; a filter that isn't given is none."""
     as_list = lambda x: [x] if isinstance(x, str) else list(x)
@@ -125,30 +161,73 @@ def bm25(
     floor: float = LEXICAL_FLOOR,
     lexical: LexicalIndex | None = None,
 ) -> DataFrame:
-    """Lexical search: positive scores that reach ``floor`` of the best allowed one."""
-    scored = (lexical or lexical_index(chunks)).scores(queries).where("score > 0")
-    metadata = chunks.where(allowed(regulations, doc_types)).select("id", "pos")
+    """Lexical search: positive scores that reach ``floor`` of the best allowed one.
+
+    The best ``n`` are taken first and the floor is asked of them, which keeps the same
+    rows; so of each question only ``n`` rows a task move.
+    """
+    scored = (lexical or lexical_index(chunks)).scores(queries, allowed(regulations, doc_types)).where("score > 0")
     best = F.max("score").over(W.partitionBy("query_id"))
-    kept = scored.join(metadata, "id").withColumn("best", best).where(F.col("score") >= floor * F.col("best"))
-    return top(kept, n).select("query_id", "rank", "id", "score", "pos")
+    kept = top(scored, n).withColumn("best", best).where(F.col("score") >= floor * F.col("best"))
+    return kept.select("query_id", "rank", "id", "score", "pos")
+
+
+#: Questions that meet the vectors in one pass.
+QUESTIONS = 4096
 
 
 def cosine_knn(queries: DataFrame, vectors: DataFrame, n: int, *, floor: float | None = SEMANTIC_FLOOR, condition: Column | None = None) -> DataFrame:
     """Semantic search: the ``n`` nearest first, then those above the floor.
 
     ``queries`` has query_id and vector, ``vectors`` id, pos, vector and metadata.
-    Exact: every question of the batch meets every allowed vector.  Spark sends the
-    questions to the vectors if their size allows, else it pairs blocks of both.
+    Exact: blocks of ``QUESTIONS`` questions are broadcast, each batch of allowed
+    vectors is multiplied with a block at once and passes on, of each question, its
+    best ``n`` and what ties with them; one window over those ends it.
     """
-    scored = (
-        (vectors.where(condition) if condition is not None else vectors)
-        .crossJoin(queries.select("query_id", F.col("vector").alias("q")))
-        .select("query_id", "id", "pos", F.round(cosine(F.col("q"), F.col("vector")), DIGITS).alias("score"))
-    )
-    best = top(scored, n)
+    rows = vectors.where(condition) if condition is not None else vectors
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    blocks = max(1, -(-asked.count() // QUESTIONS))
+    found = None
+    for k in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        near = _nearest(block.collect(), asked.schema["query_id"], rows, n)
+        found = near if found is None else found.unionByName(near)
+    best = top(found, n)
     return (best.where(F.col("score") >= floor) if floor is not None else best).select("query_id", "rank", "id", "score", "pos")
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _nearest(asked: list, kind: StructField, rows: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, pos, score): candidates for each question's ``n`` nearest, from every batch of vectors."""
+    spark = rows.sparkSession
+    numbered = spark.createDataFrame([(i, q["query_id"]) for i, q in enumerate(asked)], StructType([StructField("q", IntegerType()), kind]))
+    matrix = spark.sparkContext.broadcast(np.array([q["vector"] for q in asked]))
+    rows = rows.select("id", "pos", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    schema = pa.schema([("q", pa.int32()), ("id", pa.string()), ("pos", pa.int64()), ("score", pa.float64())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(matrix.value):
+            return
+        asked = _unit(matrix.value)
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            # a vector without a direction is near nothing
+            score = np.nan_to_num(np.round(asked @ _unit(v).T, DIGITS), nan=-np.inf)
+            least = np.partition(score, -n, axis=1)[:, -n, None] if batch.num_rows > n else score.min(1, keepdims=True)
+            q, at = np.nonzero((score >= least) & (score > -np.inf))
+            ids = [pc.take(batch.column(c), pa.array(at)) for c in ("id", "pos")]
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), *ids, pa.array(score[q, at])], schema=schema)
+
+    found = map_batches(rows, run, "q int, id string, pos long, score double")
+    return found.join(F.broadcast(numbered), "q").drop("q")
+
+
 def fuse(lists: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion; ties in order of first appearance. Empty lists don't matter."""
     tagged = [x.select("query_id", "id", "rank", F.lit(i).alias("list_no")) for i, x in enumerate(lists)]
@@ -215,7 +294,7 @@ def reserved_documents(queries: DataFrame, chunks: DataFrame, scores: DataFrame,
     asked = queries.select("query_id", F.explode(parts).alias("number")).distinct()
     wanted = asked.join(document_numbers(chunks), "number").select("query_id", "regulation", "document_label").distinct()
     rows = chunks.select("id", "pos", "regulation", "document_label").join(wanted, ["regulation", "document_label"])
-    scored = rows.join(scores, ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    scored = rows.join(scores.select("query_id", "id", "score"), ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return top(scored, n).select("query_id", "rank", "id", "score")
 
 
@@ -225,7 +304,7 @@ def reserved_articles(queries: DataFrame, chunks: DataFrame, regulation: str | N
     both = asked.select("query_id", F.explode(F.array("number", F.concat(F.lit("Geçici "), "number"))).alias("article_number"))
     statutes = chunks.where(is_statute(F.col("doc_type")) & (F.col("regulation") == F.lit(regulation)))
     rows = statutes.join(both.distinct(), "article_number").withColumn("score", F.lit(1.0))
-    return top(rows, n, ties=("article_number", "chunk_index")).select("query_id", "rank", "id", "score")
+    return top(rows, n, ties=("article_number", "chunk_index", "pos")).select("query_id", "rank", "id", "score")
 
 
 def reserve(ranked: DataFrame, reserved: DataFrame, top_k: int | None = None) -> DataFrame:
