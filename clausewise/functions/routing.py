@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clausewise.functions.text import DANGLING, TURKISH_LETTER, strip
+from clausewise.sources.dimensions import REGULATIONS
 
-# The regulations that can be recognised, their languages, and the cues for each.
-LANGUAGES = {"DORA": "en", "GDPR": "en", "KVKK": "tr", "BDDK": "tr"}
+LANGUAGES = {name: language for name, _, _, language in REGULATIONS}
+# The cues of each regulation.
 ACRONYM = r"(?iU)\b(?:DORA|GDPR|KVKK|BDDK)\b"
 KVKK_CUE = (
     r"(?iU)\b(istanbul|ankara|izmir|t[üu]rkiye|turkey|turkish|t[üu]rk vatanda|"

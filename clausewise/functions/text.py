@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,27 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.replace(F.lower(text), F.lit("̇"), F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def places(text: Column, pattern: str) -> Column:
+    """Where a pattern stands: an array of (start, end), counted in characters from 0."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    walk = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.length(x["hit"])
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("found"))
+
+    return F.aggregate(walk, start, step)["found"]
+
+
+def replace_each(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
+    """``text`` with every match of the pattern as ``by`` makes it."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    return F.array_join(F.zip_with(gaps, hits, lambda gap, hit: F.concat(gap, F.coalesce(by(hit), F.lit("")))), "")
+
+
 def strip(text: Column, characters: str = WHITESPACE) -> Column:
     return F.btrim(text, F.lit(characters))
 

@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from clausewise.functions.text import CITATION, STOPWORDS, citation, fill_blank_cells, is_grounded, is_statute, strip_unexpected_script
-from clausewise.session import ship
+from clausewise.functions.text import CITATION, citation, fill_blank_cells, is_grounded, is_statute, replace_each, strip_unexpected_script
 
-_PROSE = re.compile(r"\b(DORA|GDPR|KVKK)\s+(?:Article|Art\.?|Madde)\s+(\d+)\b", re.IGNORECASE)
-_MARK = re.compile(r"\[(\d+)\]")
-_WORDS = re.compile(r"[a-zA-ZçğıöşüÇĞİÖŞÜ]{4,}")
-_ENDS = ".!?\n|"
+# Named articles, where a claim ends, what a removed marker leaves behind, and how doubt is worded.
+PROSE = r"(?iU)\b(DORA|GDPR|KVKK)\s+(?:Article|Art\.?|Madde)\s+(\d+)\b"
+CLAIM_END = r"(?<=[.!?\n|])"
+LEFTOVERS = ((r"(?U)\s+and\s*([.,;:]|$)", "$1"), (r"(?U),\s*([.,;:])", "$1"), (r" {2,}", " "), (r" ([.,;:])", "$1"))
+UNCONFIRMED = {"en": " (article number not confirmed in the sources)", "tr": " (madde numarası kaynaklarda doğrulanamadı)"}
 
 
 def markers(answers: DataFrame) -> DataFrame:
     """(query_id, place, rank, claim): every ``[n]`` with the sentence or table cell around it."""
-    pieces = F.split("answer", r"(?<=[.!?\n|])", -1)
+    pieces = F.split("answer", CLAIM_END, -1)
     rows = answers.select("query_id", F.posexplode(pieces).alias("piece", "claim"))
     found = rows.select("query_id", "piece", "claim", F.posexplode(F.regexp_extract_all("claim", F.lit(CITATION), F.lit(1))).alias("i", "n"))
     return found.select("query_id", "piece", "i", F.col("n").try_cast("int").alias("rank"), "claim")
@@ -43,67 +39,52 @@ def unverified_mentions(answers: DataFrame, results: DataFrame) -> DataFrame:
     return said.distinct().join(have, ["query_id", "regulation", "article_number"], "left_anti")
 
 
-def _grounded(claim: str, source: str, language: str | None) -> bool:
-    turkish = re.search("[çğıöşüÇĞİÖŞÜ]", claim) is not None
-    if language in ("tr", "en") and language != ("tr" if turkish else "en"):
-        return True
-    words = {w.lower() for w in _WORDS.findall(claim)} - set(STOPWORDS)
-    return not words or len(words & ({w.lower() for w in _WORDS.findall(source)} - set(STOPWORDS))) >= 0.12 * len(words)
-
+def _confirmed(answer: Column, sources: Column) -> Column:
+    """The answer with articles in prose that no source is of named as unconfirmed."""
+    statutes = F.transform(F.filter(sources, lambda s: is_statute(s["doc_type"])), lambda s: F.concat_ws(" ", s["regulation"], s["article_number"]))
 
-def _claim(text: str, start: int, end: int) -> str:
-    left = max(text.rfind(c, 0, start) for c in _ENDS)
-    right = min((p for c in _ENDS if (p := text.find(c, end)) >= 0), default=len(text))
-    return text[left + 1 : right + 1]
+    def mention(said: Column) -> Column:
+        regulation = F.upper(F.regexp_extract(said, PROSE, 1))
+        known = F.array_contains(statutes, F.concat_ws(" ", regulation, F.regexp_extract(said, PROSE, 2)))
+        turkish = F.contains(F.lower(said), F.lit("madde"))
+        unsure = F.concat(regulation, F.when(turkish, UNCONFIRMED["tr"]).otherwise(UNCONFIRMED["en"]))
+        return F.when(known, said).otherwise(unsure)
 
+    return replace_each(answer, PROSE, mention)
 
-def _verified(answer: str, sources: list[dict]) -> str:
-    """The answer without markers that don't hold, and with unretrieved articles named as such."""
-    have = {(s["regulation"], s["article_number"]) for s in sources if (s["doc_type"] or "statute") == "statute"}
 
-    def mention(m: re.Match) -> str:
-        regulation = m[1].upper()
-        if (regulation, m[2]) in have:
-            return m[0]
-        return f"{regulation} ({'madde numarası kaynaklarda doğrulanamadı' if 'madde' in m[0].lower() else 'article number not confirmed in the sources'})"
+def _backed(answer: Column, sources: Column) -> Column:
+    """The answer without markers whose sentence or cell the source can't back; what joined them to others goes, too."""
 
-    answer = _PROSE.sub(mention, answer)
+    def held(claim: Column) -> Column:
+        def marker(mark: Column) -> Column:
+            n = F.regexp_extract(mark, CITATION, 1).try_cast("int")
+            source = F.when(n >= 1, F.get(sources, n - 1))
+            return F.when(source.isNotNull() & is_grounded(claim, F.coalesce(source["text"], F.lit("")), source["language"]), mark)
 
-    def marker(m: re.Match) -> str:
-        n = int(m[1])
-        ok = 1 <= n <= len(sources) and _grounded(_claim(m.string, *m.span()), sources[n - 1]["text"], sources[n - 1]["language"])
-        return m[0] if ok else ""
+        return replace_each(claim, CITATION, marker)
 
-    answer = _MARK.sub(marker, answer)
-    for pattern, to in ((r"\s+and\s*([.,;:]|$)", r"\1"), (r",\s*([.,;:])", r"\1"), (r" {2,}", " "), (r" ([.,;:])", r"\1")):
-        answer = re.sub(pattern, to, answer)
-    return answer
+    out = F.array_join(F.transform(F.split(answer, CLAIM_END, -1), held), "")
+    for pattern, to in LEFTOVERS:
+        out = F.regexp_replace(out, pattern, to)
+    return out
 
 
 def verify(answers: DataFrame, results: DataFrame) -> DataFrame:
     """(query_id, answer, indices): cleaned answers and the ranks that they still cite.
 
-    Replacing text by where it stands needs match offsets, so this part is a pandas
-    function; a row is one answer with the few sources of its prompt.
+    An answer meets the few sources of its own prompt in one row; each piece of it
+    is then checked by Column functions.
     """
-    ship(answers.sparkSession)
     fields = ("rank", "text", "regulation", "article_number", "doc_type", "language")
     sources = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("sources"))
-    rows = answers.select("query_id", strip_unexpected_script(F.col("answer")).alias("answer")).join(sources, "query_id", "left")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["answer"] = [
-                _verified(a or "", [dict(zip(fields, s, strict=True)) if not isinstance(s, dict) else s for s in (x if x is not None else [])])
-                for a, x in zip(frame["answer"], frame["sources"], strict=True)
-            ]
-            frame["n"] = [0 if x is None else len(x) for x in frame["sources"]]
-            yield frame[["query_id", "answer", "n"]]
-
-    kind = f"query_id {answers.schema['query_id'].dataType.simpleString()}, answer string, n int"
-    clean = rows.mapInPandas(run, kind).withColumn("answer", fill_blank_cells(F.col("answer")))
+    none = F.array().cast(sources.schema["sources"].dataType)
+    rows = answers.join(sources, "query_id", "left").withColumn("sources", F.coalesce("sources", none))
+    said = _confirmed(strip_unexpected_script(F.coalesce("answer", F.lit(""))), F.col("sources"))
+    clean = rows.withColumn("answer", said).withColumn("answer", fill_blank_cells(_backed(F.col("answer"), F.col("sources"))))
     found = F.transform(F.regexp_extract_all("answer", F.lit(CITATION), F.lit(1)), lambda x: x.try_cast("int"))
-    return clean.select("query_id", "answer", F.array_sort(F.array_distinct(F.filter(found, lambda x: (x >= 1) & (x <= F.col("n"))))).alias("indices"))
+    held = F.filter(found, lambda x: (x >= 1) & (x <= F.size("sources")))
+    return clean.select("query_id", "answer", F.array_sort(F.array_distinct(held)).alias("indices"))
 
 
 def group_sources(cited_rows: DataFrame) -> DataFrame:
