@@ -62,13 +62,14 @@ CORPUS = """corpus AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS pos, text
   CASE WHEN doc_id % 3 = 0 THEN 'board_decision' WHEN doc_id % 7 = 1 THEN 'guideline' ELSE 'statute' END AS doc_type,
   lang AS language FROM documents)"""
 TOKENS = "regexp_extract_all(replace(lower({0}), chr(775), ''), '[\\p{{L}}\\p{{N}}_]+')"
-BM25 = f"""tok AS (SELECT doc_id, unnest({TOKENS.format("text")}) AS term FROM documents),
-p AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
-dl AS (SELECT doc_id, len({TOKENS.format("text")}) AS dl FROM documents),
+BM25 = f"""tok AS MATERIALIZED (SELECT doc_id, unnest({TOKENS.format("text")}) AS term FROM documents),
+p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS MATERIALIZED (SELECT doc_id, len({TOKENS.format("text")}) AS dl FROM documents),
 cs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 dfs AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, cs),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, cs),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mean),
 qt AS (SELECT item_id, term, count(*) AS n_q FROM (SELECT item_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 sc AS (SELECT item_id, doc_id, round(sum(idf * n_q * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM qt JOIN p USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), cs GROUP BY ALL)"""
@@ -101,7 +102,7 @@ def corpus_stats(spark, d):
 def term_idf(spark, d):
     c = corpus(spark, d)
     stats = rank.corpus_stats(rank.document_lengths(c))
-    return rank.term_stats(rank.postings(c), stats).select("term", "df", F.round("idf", 6).alias("idf"))
+    return rank.term_stats(c, stats).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""WITH {BM25}, f AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM sc WHERE score > 0),
@@ -138,10 +139,11 @@ def semantic_topk(spark, d):
     return rank.cosine_knn(q, v, 18, floor=None).select("query_id", F.col("pos").alias("vec_id"), "rank", "score")
 
 
-@query(f"WITH {KNN} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= 18 AND score >= 0.15 AND query_id % 100 = 0")
+@query(f"WITH {KNN} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= 18 AND score >= 0.3 AND query_id % 100 = 0")
 def semantic_floor(spark, d):
+    """Vectors of these tables are less alike than a model's, so the floor is where some of the nearest miss it."""
     v, q = vectors(spark, d)
-    return rank.cosine_knn(q, v, 18).select("query_id", F.col("pos").alias("vec_id"), "rank", "score")
+    return rank.cosine_knn(q, v, 18, floor=0.3).select("query_id", F.col("pos").alias("vec_id"), "rank", "score")
 
 
 def customer_lists(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -196,12 +198,12 @@ def doc_number_map(spark, d):
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
     """A question for each order priority, naming a decision, and an article."""
-    o = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.max("o_custkey").alias("k"))
+    o = table(spark, d, "orders").groupBy("o_orderpriority").agg((F.max("o_custkey") * 3).alias("k"))
     number = F.concat((F.lit(2000) + F.col("k") % 25).cast("string"), F.lit("/"), (F.col("k") % 90 + 1).cast("string"))
     return o.select(F.col("o_orderpriority").alias("query_id"), F.concat(F.lit("what does decision "), number, F.lit(" add to article "), (F.col("k") % 40 + 1).cast("string"), F.lit(" for orders")).alias("query"))
 
 
-MENTIONS = """m AS (SELECT o_orderpriority AS query_id, max(o_custkey) AS k FROM orders GROUP BY 1)"""
+MENTIONS = """m AS (SELECT o_orderpriority AS query_id, max(o_custkey) * 3 AS k FROM orders GROUP BY 1)"""
 
 
 @query(f"""WITH {CORPUS}, {MENTIONS}, n AS (SELECT regexp_extract(document_label, '\\d{{4}}/\\d{{1,5}}') AS number, regulation, document_label, pos FROM corpus WHERE document_label <> ''),
@@ -214,12 +216,31 @@ def named_document_reserve(spark, d):
     return rank.reserved_documents(q, c, none, 1_000_000_000).select("query_id", "id")
 
 
-@query(f"""WITH {CORPUS}, {MENTIONS}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY article_number, pos) AS rank
-  FROM m JOIN corpus ON article_number = CAST(k % 40 + 1 AS VARCHAR) WHERE doc_type = 'statute' AND regulation = 'src1')
-SELECT query_id, count(*) AS n FROM r GROUP BY query_id""")
+@query(f"""WITH {CORPUS}, {MENTIONS}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank
+  FROM m JOIN corpus ON article_number = CAST(k % 40 + 1 AS VARCHAR) WHERE doc_type = 'statute' AND regulation = 'src0')
+SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM r""")
 def named_article_reserve(spark, d):
-    found = rank.reserved_articles(mentions(spark, d), corpus(spark, d), "src1", 1_000_000_000)
-    return found.groupBy("query_id").agg(F.count("*").alias("n"))
+    return rank.reserved_articles(mentions(spark, d), corpus(spark, d), "src0", 1_000_000_000).select("query_id", "id", "rank")
+
+
+@query(f"""WITH {LISTS}, a AS (SELECT query_id, c_custkey, rank FROM x WHERE list_no = 0), b AS (SELECT query_id, c_custkey, rank FROM x WHERE list_no = 1 AND rank <= 3),
+u AS (SELECT query_id, c_custkey, 0 AS part, rank FROM b UNION ALL SELECT a.query_id, a.c_custkey, 1, a.rank FROM a ANTI JOIN b USING (query_id, c_custkey)),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS place FROM u)
+SELECT query_id, c_custkey, CAST(place AS INTEGER) AS rank, part = 0 AS reserved FROM n WHERE place <= 6""")
+def reserved_first(spark, d):
+    """Reserved hits before the others, within the limit."""
+    a, b = customer_lists(spark, d)
+    found = rank.reserve(a, b.where("rank <= 3"), 6)
+    return found.select("query_id", F.col("id").cast("long").alias("c_custkey"), "rank", "reserved")
+
+
+@query(f"""WITH {LISTS}, a AS (SELECT query_id, c_custkey, rank FROM x WHERE list_no = 0), b AS (SELECT query_id, c_custkey, rank FROM x WHERE list_no = 1 AND rank <= 4),
+u AS (SELECT query_id, c_custkey, 0 AS part, rank FROM b UNION ALL SELECT a.query_id, a.c_custkey, 1, a.rank FROM a ANTI JOIN b USING (query_id, c_custkey))
+SELECT query_id, c_custkey, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS INTEGER) AS rank, part = 0 AS reserved FROM u""")
+def reserved_on_top(spark, d):
+    """Reserved hits in addition to all others."""
+    a, b = customer_lists(spark, d)
+    return rank.reserve(a, b.where("rank <= 4")).select("query_id", F.col("id").cast("long").alias("c_custkey"), "rank", "reserved")
 
 
 @query("""WITH r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
@@ -263,13 +284,24 @@ def ask_retrieve(spark, d):
     return ask.retrieve(q, corpus(spark, d)).select("query_id", "rank", "id", "score")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN length(text) > 400 THEN 'long' WHEN length(text) >= 180 THEN 'middling' ELSE 'short' END AS size,
- length(text) > 400 AS decompose FROM conversations WHERE role = 'user'""")
+CUES = ("does DORA apply", "GDPR and kvkk", "a payments startup in Istanbul", "a credit institution", "nothing here", "an EU bank in ankara")
+SAID = f"q AS (SELECT conv_id, turn, {list(CUES)}[conv_id % 6 + 1] || ': ' || text AS q FROM conversations WHERE role = 'user')"
+RE2 = lambda pattern: pattern.replace("(?iU)", "(?i)").replace("'", "''")
+REQUIRED = f"""rq AS (SELECT *, list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(q, '{RE2(routing.ACRONYM)}'), lambda x: upper(x)),
+  CASE WHEN regexp_matches(q, '{RE2(routing.KVKK_CUE)}') THEN ['KVKK'] ELSE [] END, CASE WHEN regexp_matches(q, '{RE2(routing.DORA_CUE)}') THEN ['DORA'] ELSE [] END))) AS cued,
+  list_sort(list_distinct(list_transform(regexp_extract_all(q, '{RE2(routing.ACRONYM)}'), lambda x: upper(x)))) AS named FROM q),
+rr AS (SELECT *, CASE WHEN len(cued) = 0 AND (regexp_matches(q, '{RE2(routing.TURKISH_ONLY)}') OR regexp_matches(q, '{RE2(routing.TURKISH_ASCII)}')) THEN ['KVKK'] ELSE cued END AS required FROM rq)"""
+
+
+def cued_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Users' texts, each whole behind one of six openings."""
+    cue = F.get(F.array(*map(F.lit, CUES)), (F.col("conv_id") % 6).cast("int"))
+    return user_turns(spark, d).select("conv_id", "turn", F.concat(cue, F.lit(": "), "text").alias("q"))
+
+
+@query(f"""WITH {SAID}, {REQUIRED} SELECT conv_id, turn, length(q) > 400 OR (length(q) >= 180 AND len(required) >= 2) AS decompose FROM rr""")
 def decompose_trigger(spark, d):
-    n = F.length("text")
-    size = F.when(n > 400, "long").when(n >= 180, "middling").otherwise("short")
-    # texts of this corpus name no regulation, so length alone decides
-    return user_turns(spark, d).select("conv_id", "turn", size.alias("size"), routing.needs_decomposition(F.regexp_replace("text", r"[^\n]", "x")).alias("decompose"))
+    return cued_turns(spark, d).select("conv_id", "turn", routing.needs_decomposition(F.col("q")).alias("decompose"))
 
 
 # --- text --------------------------------------------------------------------
@@ -386,21 +418,23 @@ def chunk_packed(spark, d):
     return chunked(spark, d, False).select("id", "regulation", "article_number", "chunk_index", "total_chunks", F.md5("text").alias("h"))
 
 
-@query("""WITH b AS (SELECT doc_id, source, list_transform(string_split(text, chr(10)), lambda x, i: ((i - 1) % 60 + 1) || '.  ' || x) AS l FROM documents),
+@query("""WITH RECURSIVE b AS (SELECT doc_id, source, list_transform(string_split(text, chr(10)), lambda x, i: ((i - 1) % 60 + 1) || '.  ' || x) AS l FROM documents),
 t AS (SELECT doc_id, source, l, array_to_string(l, chr(10)) AS body FROM b),
-s AS (SELECT doc_id, source, unnest(CASE WHEN length(body) <= 1500 THEN [body] ELSE l END) AS piece FROM t WHERE length(body) <= 1500 OR list_max(list_transform(l, lambda x: length(x))) <= 1500)
-SELECT CAST(doc_id AS VARCHAR) AS article_number, count(*) AS n, sum(length(source || ', Article ' || doc_id || ':' || chr(10) || piece)) AS chars FROM s GROUP BY 1""")
+s AS (SELECT doc_id, source, unnest(CASE WHEN length(body) <= 1500 THEN [body] ELSE l END) AS unit FROM t),
+w AS (SELECT doc_id, source, unit AS rest, NULL::VARCHAR AS piece FROM s
+ UNION ALL
+ SELECT doc_id, source, CASE WHEN length(rest) > 1500 THEN trim(rest[greatest(cut - 150, 0) + 1:]) ELSE NULL END,
+   CASE WHEN length(rest) > 1500 THEN trim(rest[:cut]) ELSE rest END
+ FROM (SELECT *, CASE WHEN p > 750 THEN p + 1 ELSE 1500 END AS cut FROM (SELECT *, CASE WHEN contains(rest[:1500], '. ') THEN 1500 - instr(reverse(rest[:1500]), ' .') - 1 ELSE -1 END AS p FROM w WHERE rest IS NOT NULL)))
+SELECT CAST(doc_id AS VARCHAR) AS article_number, md5(source || ', Article ' || doc_id || ':' || chr(10) || piece) AS h FROM w WHERE piece <> ''""")
 def chunk_numbered(spark, d):
-    """Documents whose numbered lines all fit: one chunk a line, or one for all if that is short."""
-    rows = chunked(spark, d, True)
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.length(x) + F.length((i % 60 + 1).cast("string")) + 3)
-    fits = table(spark, d, "documents").where((F.array_max(lines) <= 1500)).select(F.col("doc_id").cast("string").alias("article_number"))
-    return rows.join(fits, "article_number", "left_semi").groupBy("article_number").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    """Chunks of all documents with numbered lines: one for a short text, else one a line, and over-long lines in windows."""
+    return chunked(spark, d, True).select("article_number", F.md5("text").alias("h"))
 
 
 @query()
 def chunk_numbered_all(spark, d):
-    """The numbered path over all documents, over-long units and all: every chunk."""
+    """The same with ids and places, which tests compare with brute force."""
     return chunked(spark, d, True).select("id", "regulation", "article_number", "chunk_index", "total_chunks", F.md5("text").alias("h"))
 
 
@@ -420,16 +454,55 @@ def query_rewrite_strip(spark, d):
     return u.select("conv_id", "turn", routing.augment_frequency(F.concat(lead, bare), asked).alias("q"))
 
 
-CUES = "['does DORA apply', 'GDPR and kvkk', 'a payments startup in Istanbul', 'a credit institution', 'nothing here', 'an EU bank in ankara']"
-
-
-@query(f"""WITH q AS (SELECT conv_id, turn, {CUES}[conv_id % 6 + 1] AS q FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'DORA' WHEN 1 THEN 'GDPR,KVKK' WHEN 2 THEN 'KVKK' WHEN 3 THEN 'DORA' WHEN 4 THEN '' ELSE 'DORA,KVKK' END AS required,
- CASE conv_id % 6 WHEN 0 THEN 'DORA' ELSE NULL END AS single FROM q""")
+@query(f"""WITH {SAID}, {REQUIRED} SELECT conv_id, turn, array_to_string(required, ',') AS required, CASE WHEN len(named) = 1 THEN named[1] END AS single FROM rr""")
 def route_regulations(spark, d):
-    cues = F.array(*[F.lit(x) for x in eval(CUES)])  # noqa: S307 - a literal above
-    u = user_turns(spark, d).withColumn("q", F.get(cues, (F.col("conv_id") % 6).cast("int")))
-    return u.select("conv_id", "turn", F.array_join(routing.required_regulations(F.col("q")), ",").alias("required"), routing.single_regulation(F.col("q")).alias("single"))
+    q = F.col("q")
+    return cued_turns(spark, d).select("conv_id", "turn", F.array_join(routing.required_regulations(q), ",").alias("required"), routing.single_regulation(q).alias("single"))
+
+
+@query(f"""WITH {SAID}, {REQUIRED}, k AS (SELECT *, regexp_matches(q, '[çğıöşüÇĞİÖŞÜ]') OR regexp_matches(q, '{RE2(routing.TURKISH_ASCII)}') AS turkish,
+  list_sort(list_distinct(list_concat(required, CASE WHEN regexp_matches(q, '{RE2(routing.EU_CUE)}') THEN ['GDPR'] ELSE [] END, CASE WHEN regexp_matches(q, '{RE2(routing.DORA_CUE)}') THEN ['DORA'] ELSE [] END))) AS ext FROM rr)
+SELECT conv_id, turn, array_to_string(ext, ',') AS required, turkish, CASE WHEN regexp_matches(q, '[ığşİĞŞ]') THEN md5(q) END AS native,
+ turkish AND (len(list_filter(ext, lambda x: x NOT IN ('KVKK', 'BDDK'))) > 0 OR len(ext) = 0) AS degraded FROM k""")
+def language_routing(spark, d):
+    """What a question's language decides: regulations by cues of the EU, the second Turkish wording, and degraded retrieval."""
+    q = F.col("q")
+    rows = cued_turns(spark, d).withColumn("ext", routing.required_regulations_extended(q))
+    filter_ = F.when(F.size("ext") > 0, F.col("ext"))
+    return rows.select(
+        "conv_id", "turn", F.array_join("ext", ",").alias("required"), routing.looks_turkish(q).alias("turkish"),
+        F.md5(routing.native_query(q, F.lit("KVKK"))).alias("native"), routing.retrieval_degraded(q, filter_).alias("degraded"),
+    )
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(translate(text, ',.', '  '), '\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, 2 AS n, md5('How often is ' || t || '|' || 'how long does ' || t || ' last?') AS h FROM t""")
+def clause_split(spark, d):
+    """Compound questions of users' whole texts, cut into what each asks."""
+    t = F.trim(F.regexp_replace(F.translate("text", ",.", "  "), r"[ \t\n\f\r]+", " "))
+    rows = user_turns(spark, d).select("conv_id", "turn", t.alias("t"))
+    cut = ask.clauses(F.concat(F.lit("How often is "), "t", F.lit(", and how long does "), "t", F.lit(" last?")))
+    return rows.select("conv_id", "turn", F.size(cut).alias("n"), F.md5(F.array_join(cut, "|")).alias("h"))
+
+
+@query("""SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'KVKK' WHEN 1 THEN 'GDPR' END AS home, CASE conv_id % 4 WHEN 0 THEN 'GDPR' WHEN 1 THEN 'KVKK' END AS destination FROM conversations WHERE role = 'user'""")
+def transfer_direction(spark, d):
+    """Which way data goes: places stand far from or near the verb of sending, with 100 characters of a user's text between."""
+    far = F.rpad(F.translate("text", "aAtTiIeEkKfFbBdD", "oooooooooooooooo"), 100, "-")
+    n = F.col("conv_id") % 4
+    home = F.when(n == 0, "In Ankara ").when(n == 1, "In Berlin ").when(n == 2, "In Ankara ").otherwise("In Oslo ")
+    to = F.when(n == 0, " we transfer it to Berlin").when(n == 1, " we transfer it to Ankara").when(n == 2, " we transfer it to Ankara").otherwise(" we transfer it to Berlin")
+    rows = user_turns(spark, d).withColumn("way", ask.transfer(F.concat(home, far, to)))
+    return rows.select("conv_id", "turn", "way.home", "way.destination")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [CAST(doc_id AS VARCHAR)] WHEN doc_id % 3 = 1 THEN [CAST(doc_id AS VARCHAR), doc_id || 'a'] ELSE [] END AS articles FROM documents""")
+def requested_articles(spark, d):
+    """Articles that whole texts ask for, in either word order."""
+    n = F.col("doc_id").cast("string")
+    plain = F.regexp_replace("text", r"\d", "")
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" article "), n)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" Madde "), n, F.lit(", "), n, F.lit("a. maddesi"))).otherwise("")
+    return table(spark, d, "documents").select("doc_id", text.requested_articles(F.concat(plain, said)).alias("articles"))
 
 
 PAIRS = """pr AS (SELECT conv_id, turn, text AS claim, lead(text) OVER w AS source, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
@@ -447,41 +520,59 @@ def grounding_overlap(spark, d):
 
 
 def answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """An answer for each source that cites numbers 1 to 4, of which 3 exist, and the sources of its prompt."""
+    """Every three documents are the sources of a prompt, whose answer says the first one's text and cites numbers 1 to 4."""
     docs = table(spark, d, "documents")
-    firsts = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), "text", F.lit(0.0).alias("score"))
-    results = rank.top(firsts, 3).select("query_id", "rank", "id", "text", F.lit("").alias("language"), F.col("query_id").alias("regulation"), (F.col("pos") % 2).cast("string").alias("article_number"), F.lit("").alias("article_title"), F.lit("").alias("document_label"), F.lit("statute").alias("doc_type"), (F.col("pos") % 3).cast("int").alias("chunk_index"), F.lit(3).alias("total_chunks"))
-    said = docs.groupBy(F.col("source").alias("query_id")).agg(F.min(F.struct("doc_id", "text")).alias("f")).select("query_id", F.concat(F.translate("f.text", ".!?\n|[]", "       "), F.lit(" [1]. zzzz yyyy xxxx [2]. [3] wwww vvvv [4].")).alias("answer"))
+    query_id = F.floor(F.col("doc_id") / 3).alias("query_id")
+    firsts = docs.select(query_id, F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), "text", F.lit(0.0).alias("score"), "source")
+    results = rank.top(firsts, 3).select("query_id", "rank", "id", "text", F.lit("").alias("language"), F.col("source").alias("regulation"), (F.col("pos") % 2).cast("string").alias("article_number"), F.lit("").alias("article_title"), F.lit("").alias("document_label"), F.lit("statute").alias("doc_type"), (F.col("pos") % 3).cast("int").alias("chunk_index"), F.lit(3).alias("total_chunks"))
+    said = docs.groupBy(query_id).agg(F.min(F.struct("doc_id", "text")).alias("f")).select("query_id", F.concat(F.translate("f.text", ".!?\n|[]", "       "), F.lit(" [1]. zzzz yyyy xxxx [2]. [3] wwww vvvv [4].")).alias("answer"))
     return said, results
 
 
-@query("""WITH r AS (SELECT source AS query_id, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
-g AS (SELECT query_id, doc_id, rank, CASE rank WHEN 1 THEN TRUE ELSE FALSE END AS ok FROM r WHERE rank <= 3)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(doc_id AS VARCHAR) AS id FROM g WHERE ok""")
+GROUPED = "r AS (SELECT doc_id // 3 AS query_id, doc_id, text, source, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) AS rank FROM documents)"
+
+
+@query(f"""WITH {GROUPED} SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(doc_id AS VARCHAR) AS id FROM r WHERE rank = 1""")
 def cited_sources_join(spark, d):
     return cite.cited(*answers(spark, d))
 
 
-@query("""WITH r AS (SELECT source AS query_id, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
-k AS (SELECT query_id, rank, text, doc_id % 2 AS a, doc_id % 3 + 1 AS part FROM r WHERE rank <= 3),
-g AS (SELECT query_id, a, min(rank) AS first, string_agg(rank, ',' ORDER BY rank) AS ranks, string_agg(part, ', ' ORDER BY part) AS parts, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS h FROM k GROUP BY ALL)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first) AS INTEGER) AS group_no, ranks, query_id || ', Article ' || a || ' (parts ' || parts || ' of 3)' AS citation, h FROM g""")
+@query(f"""WITH {GROUPED}, k AS (SELECT query_id, source, rank, text, doc_id % 2 AS a, doc_id % 3 + 1 AS part FROM r),
+g AS (SELECT query_id, source, a, min(rank) AS first, string_agg(rank, ',' ORDER BY rank) AS ranks, string_agg(part, ', ' ORDER BY part) AS parts, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS h FROM k GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first) AS INTEGER) AS group_no, ranks, source || ', Article ' || a || ' (parts ' || parts || ' of 3)' AS citation, h FROM g""")
 def group_sources(spark, d):
     _, results = answers(spark, d)
     found = cite.group_sources(results)
     return found.select("query_id", "group_no", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("ranks"), "citation", F.md5("text").alias("h"))
 
 
-@query()
+@query(f"""WITH {GROUPED}, a AS (SELECT query_id, regexp_replace(translate(text, '.!?' || chr(10) || '|[]', '       ') || ' [1]. zzzz yyyy xxxx [2]. [3] wwww vvvv [4].', '[ \\t]{{2,}}', ' ', 'g') AS a FROM r WHERE rank = 1),
+b AS (SELECT query_id, replace(replace(replace(a, '[2]', ''), '[3]', ''), '[4]', '') AS a FROM a),
+c AS (SELECT query_id, regexp_replace(regexp_replace(a, '\\s+and\\s*([.,;:]|$)', '\\1', 'g'), ',\\s*([.,;:])', '\\1', 'g') AS a FROM b)
+SELECT query_id, md5(regexp_replace(regexp_replace(a, ' {{2,}}', ' ', 'g'), ' ([.,;:])', '\\1', 'g')) AS h, [1]::INTEGER[] AS indices FROM c""")
 def verify_answers(spark, d):
     said, results = answers(spark, d)
     return cite.verify(said, results).select("query_id", F.md5("answer").alias("h"), "indices")
 
 
-@query("""SELECT conv_id, turn, '| ' || role || ' | — | x |' || chr(10) || '|---|' || chr(10) || role AS t FROM conversations""")
+@query("""WITH m AS (SELECT doc_id // 3 AS query_id, ['DORA', 'GDPR', 'KVKK'][doc_id % 3 + 1] AS regulation, CAST(doc_id % 7 AS VARCHAR) AS article_number FROM documents)
+SELECT DISTINCT query_id, regulation, article_number FROM m WHERE CAST(article_number AS INTEGER) % 2 = 1""")
+def unverified_mentions(spark, d):
+    """Articles that answers name and that were not retrieved."""
+    reg = F.get(F.array(F.lit("DORA"), F.lit("GDPR"), F.lit("KVKK")), (F.col("doc_id") % 3).cast("int"))
+    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 3).alias("query_id"), reg.alias("regulation"), (F.col("doc_id") % 7).cast("string").alias("article_number"), "text")
+    word = F.when(F.col("article_number") == "1", "art. ").when(F.col("article_number") == "3", "Madde ").otherwise("Article ")
+    line = F.concat("text", F.lit(" "), "regulation", F.lit(" "), word, "article_number", F.lit("."))
+    said = rows.groupBy("query_id").agg(F.array_join(F.collect_list(line), "\n").alias("answer"))
+    have = rows.where("article_number % 2 = 0").withColumn("doc_type", F.lit("statute"))
+    return cite.unverified_mentions(said, have)
+
+
+@query("""SELECT conv_id, turn, md5('| ' || replace(replace(text, '|', '/'), chr(10), ' ') || ' | — | x |' || chr(10) || '|---|' || chr(10) || replace(text, '|', '/')) AS h FROM conversations""")
 def fill_blank_cells(spark, d):
-    cells = F.concat(F.lit("| "), "role", F.lit(" |  | x |\n|---|\n"), "role")
-    return table(spark, d, "conversations").select("conv_id", "turn", text.fill_blank_cells(cells).alias("t"))
+    bare = F.replace("text", F.lit("|"), F.lit("/"))
+    cells = F.concat(F.lit("| "), F.replace(bare, F.lit("\n"), F.lit(" ")), F.lit(" |  | x |\n|---|\n"), bare)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(text.fill_blank_cells(cells)).alias("h"))
 
 
 @query("""SELECT doc_id, md5(regexp_replace(text || ' a b', '[ \\t]{2,}', ' ', 'g')) AS h FROM documents""")
@@ -490,10 +581,13 @@ def strip_unexpected_script(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.strip_unexpected_script(mixed)).alias("h"))
 
 
-@query("""SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 2 THEN 'none' ELSE trim(text, ' ' || chr(10) || chr(9) || chr(13)) END) AS h FROM conversations""")
+@query("""SELECT conv_id, turn, md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS h FROM conversations
+UNION ALL SELECT -1, 0, md5('none')""")
 def strip_thinking(spark, d):
-    raw = F.when(F.col("turn") % 3 == 2, F.lit(None)).otherwise(F.concat(F.lit("<think>a\nb</think>"), "text", F.lit("<think>c</think>")))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(text.strip_thinking(raw, "none")).alias("h"))
+    raw = F.concat(F.lit("<think>a\nb</think>"), "text", F.lit("<think>c</think>")).alias("raw")
+    silent = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(None).cast("string").alias("raw"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", raw).unionByName(silent)
+    return rows.select("conv_id", "turn", F.md5(text.strip_thinking(F.col("raw"), "none")).alias("h"))
 
 
 # --- catalog and index ---------------------------------------------------------
@@ -600,6 +694,37 @@ def case_grading(spark, d):
     return evaluate.scorecard(graded)
 
 
+@query("""WITH c AS (SELECT doc_id AS query_id, source, text FROM documents),
+f AS (SELECT query_id, list_concat(CASE WHEN query_id % 3 = 0 THEN ['retrieval miss: ' || source || ' Art x'] ELSE [] END,
+  CASE WHEN query_id % 5 = 0 THEN ['expected zero citations'] ELSE [] END,
+  CASE WHEN source <> 'src0' THEN ['citations from disallowed: ' || source] ELSE [] END,
+  CASE WHEN NOT contains(lower(text), 'th') THEN ['none of the expected phrases'] ELSE [] END,
+  CASE WHEN contains(lower(text), 'qu') THEN ['forbidden phrase: QU'] ELSE [] END,
+  ['dangling marker']) AS f FROM c)
+SELECT query_id, array_to_string(f, '; ') AS failures FROM f""")
+def run_checks(spark, d):
+    """Checks of repeated runs: whole texts are answers that cite their source."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "source", "text")
+    pairs = lambda article: F.array(F.struct(F.col("source").alias("regulation"), article.alias("article")))
+    third = F.when(F.col("query_id") % 3 == 0, F.lit("x")).otherwise(F.lit("1"))
+    phrase = lambda p: F.array(F.lit(p))
+    cases = docs.select("query_id", pairs(third).alias("must"), (F.col("query_id") % 5 == 0).alias("zero_citations"), phrase("src0").alias("only"), phrase("TH").alias("contains_any"), phrase("QU").alias("contains_none"))
+    runs = docs.select("query_id", F.lit(1).alias("run"), F.concat("text", F.lit(" [1] [2]")).alias("answer"), F.array(F.lit(1)).alias("indices"), pairs(F.lit("1")).alias("cited"), pairs(F.lit("1")).alias("retrieved"))
+    return evaluate.run_failures(cases, runs).select("query_id", F.array_join("failures", "; ").alias("failures"))
+
+
+@query("""WITH n AS (SELECT doc_id AS query_id, source AS regulation, 'L' || (doc_id % 50) AS document_label FROM documents)
+SELECT query_id, 'retrieval miss: ' || regulation || ' ' || document_label AS reason FROM n WHERE query_id % 2 = 1""")
+def document_misses(spark, d):
+    """Required documents that are not among the results, as grades say it."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("regulation"), F.concat(F.lit("L"), (F.col("doc_id") % 50).cast("string")).alias("document_label"))
+    cases = docs.select("query_id", F.array("regulation").alias("needed"), F.lit(None).cast("array<struct<regulation:string,article:string>>").alias("must"), F.array(F.struct("regulation", "document_label")).alias("must_documents"), F.lit(None).cast("array<string>").alias("forbid"), F.lit(None).cast("string").alias("require"), F.lit(None).cast("boolean").alias("no_citation"), F.lit(None).cast("array<string>").alias("only"))
+    results = docs.where("query_id % 2 = 0").withColumn("article_number", F.lit("1"))
+    said = docs.limit(0).select("query_id", F.lit("").alias("answer"), F.array().cast("array<string>").alias("cited"))
+    graded = evaluate.grade(cases, results, said, docs.select("regulation").distinct())
+    return graded.where("status = 'FAIL'").select("query_id", F.array_join("reasons", "; ").alias("reason"))
+
+
 @query("""WITH s AS (SELECT o_custkey, o_orderpriority, list_sort(list_distinct(list(o_orderstatus))) AS s FROM orders GROUP BY ALL)
 SELECT o_custkey AS query_id, count(DISTINCT s) AS n_sets, count(DISTINCT s) > 1 AS diverged FROM s GROUP BY 1""")
 def run_stability(spark, d):
@@ -607,10 +732,10 @@ def run_stability(spark, d):
     return evaluate.stability(runs)
 
 
-@query("""SELECT conv_id, turn, len(list_distinct(m)) AS n_markers, len(list_distinct(m)) > 1 AS dangling FROM (SELECT conv_id, turn, regexp_extract_all('[1] x [' || (turn % 3) || ']', '\\[(\\d+)\\]', 1) AS m FROM conversations)""")
+@query("""SELECT conv_id, turn, len(list_distinct(m)) AS n_markers, len(list_distinct(m)) > 1 AS dangling FROM (SELECT conv_id, turn, regexp_extract_all(text || ' [1] x [' || (turn % 3) || ']', '\\[(\\d+)\\]', 1) AS m FROM conversations)""")
 def dangling_markers(spark, d):
     c = table(spark, d, "conversations")
-    said = c.select(F.struct("conv_id", "turn").alias("query_id"), F.concat(F.lit("[1] x ["), (F.col("turn") % 3).cast("string"), F.lit("]")).alias("answer"), F.array(F.lit(1)).alias("indices"))
+    said = c.select(F.struct("conv_id", "turn").alias("query_id"), F.concat("text", F.lit(" [1] x ["), (F.col("turn") % 3).cast("string"), F.lit("]")).alias("answer"), F.array(F.lit(1)).alias("indices"))
     return evaluate.dangling_markers(said).select("query_id.conv_id", "query_id.turn", F.col("n_markers").cast("long").alias("n_markers"), "dangling")
 
 

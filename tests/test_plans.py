@@ -46,16 +46,30 @@ def test_eu_cue(spark, q, n):
     assert row.n == n
 
 
-def test_clauses():
-    assert ask.clauses("How often do we run X, and how long does Y last?") == ["How often do we run X", "how long does Y last?"]
-    assert ask.clauses("How often do we run X and how often Y?") == []
-    assert ask.clauses("testler ne sıklıkta yapılır ve aktif test aşaması ne kadar sürer") == ["testler ne sıklıkta yapılır", "aktif test aşaması ne kadar sürer"]
+def one(spark, question, f):
+    return spark.createDataFrame([(question,)], "q string").select(f(F.col("q")).alias("x")).first().x
 
 
-def test_transfer():
+def test_clauses(spark):
+    said = lambda q: one(spark, q, ask.clauses)
+    assert said("How often do we run X, and how long does Y last?") == ["How often do we run X", "how long does Y last?"]
+    assert said("How often do we run X and how often Y?") == []
+    assert said("testler ne sıklıkta yapılır ve aktif test aşaması ne kadar sürer") == ["testler ne sıklıkta yapılır", "aktif test aşaması ne kadar sürer"]
+    assert said("How often is it run how long is it kept") == ["How often", "is it run how long is it kept"]
+    assert said("") == [] and said("no such words, and none here") == []
+
+
+def test_transfer(spark):
+    said = lambda q: one(spark, q, ask.transfer)
     near = "İstanbul'daki şirketimiz hastaların bütün kayıtlarını yıllardır kendi sunucularında düzenli olarak ve güvenle saklıyor. " + "Şimdi verileri Frankfurt'a gönderiyoruz."
-    assert ask.transfer(near) == ("KVKK", "GDPR")
-    assert ask.transfer("a bank in Ankara and one in Berlin") is None
+    assert tuple(said(near)) == ("KVKK", "GDPR")
+    assert said("a bank in Ankara and one in Berlin") is None and said("") is None
+    assert said("We send it from Berlin to Ankara") is None  # both are near
+
+
+def test_places(spark):
+    assert [tuple(x) for x in one(spark, "a1b22", lambda c: text.places(c, r"\d+"))] == [(1, 2), (3, 5)] and one(spark, "", lambda c: text.places(c, "x")) == []
+    assert one(spark, "a1b22c", lambda c: text.replace_each(c, r"\d+", lambda h: F.when(h == "1", "<x>"))) == "a<x>bc"
 
 
 def test_functions(spark):
@@ -191,3 +205,108 @@ def test_a_model_decomposes_triages_and_rewrites(spark, chunks):
     assert rows[1].sub_questions == ["what is erasure", "who is told"] and rows[1].triage == ["GDPR"] and rows[2].sub_questions is None
     found = ask.retrieve(ask.prepare(q.where("query_id = 2"), helper()), chunks, llm=helper())
     assert ids(found, 2)[0] == "G2"
+
+
+def test_streams_of_back_ends():
+    from clausewise.plans import llm
+
+    events = [b": ping\n", b'data: {"choices": [{"delta": {"content": "a<thi"}}]}\n', b'data: {"choices": [{"delta": {}}]}\n', b'data: {"choices": [{"delta": {"content": "nk>x</think>b"}}]}\n', b"data: [DONE]\n", b'data: {"choices": [{"delta": {"content": "never"}}]}\n']
+    assert list(llm.event_pieces(events)) == ["a<thi", "nk>x</think>b"] and "".join(llm.aloud(llm.event_pieces(events))) == "ab"
+    objects = [b'{"message": {"content": "x"}, "done": false}\n', b"\n", b'{"message": {"content": "y"}, "done": true}\n', b'{"message": {"content": "z"}}\n']
+    assert list(llm.object_pieces(objects)) == ["x", "y"]
+    assert llm.spoken(None) == llm.EXHAUSTED and llm.spoken(" <think>a\nb</think>c ") == "c" and llm.spoken("") == ""
+    assert not llm.Local("http://127.0.0.1:9", "m").is_available() and isinstance(llm.backend(), Echo)
+    body = llm.Local("http://x", "m").body("s", "u", True, True)
+    assert body["stream"] and body["think"] and body["options"]["num_predict"] == llm.MAX_TOKENS_REASONING
+
+
+class Spoken:
+    def chat(self, system, user, reasoning=False):
+        return "".join(self.stream_chat(system, user, reasoning))
+
+    def stream_chat(self, system, user, reasoning=False):
+        yield from ("Entities record ", "ict incidents [1]. ", "Unrelated nonsense words [2].")
+
+
+def test_streamed_answers_are_replaced_by_checked_ones(spark, chunks):
+    q = spark.createDataFrame([(1, "ict incidents", "DORA"), (2, "DORA article 99", "DORA")], "query_id int, query string, regulation string")
+    sources, pieces = ask.ask_stream(q, chunks, llm=Echo())
+    said = {(r.query_id, r.seq): r.piece for r in pieces.collect()}
+    assert said[2, 0].startswith("DORA Article 99 does not exist") and said[1, 0].startswith("[echo]") and len(said) == 2
+    words = spark.createDataFrame([(1, i, p) for i, p in enumerate(Spoken().stream_chat("", ""))], "query_id int, seq int, piece string")
+    row = ask.final(words, sources).first()
+    assert row.indices == [1] and row.answer == "Entities record ict incidents [1]. Unrelated nonsense words."
+    pairs = spark.createDataFrame([(1, "breach reports", "GDPR", "DORA"), (2, "x", "DORA", "DORA")], "query_id int, query string, reg_a string, reg_b string")
+    sources, pieces = ask.compare_stream(pairs, chunks)
+    said = {r.query_id: r.piece for r in pieces.collect()}
+    assert "selected on both sides" in said[2] and "Sources for GDPR" in said[1]
+    assert {r.regulation for r in sources.collect()} <= {"GDPR", "DORA"}
+
+
+def test_comparing_by_vectors_and_the_note(spark, chunks):
+    vectors = chunks.select("id", "pos", "regulation", "doc_type", F.when(F.col("id").isin("G2", "K1"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("vector"))
+    embed = lambda rows: rows.select("query_id", F.array(F.lit(1.0), F.lit(0.1)).alias("vector"))
+    pairs = spark.createDataFrame([(1, "veri silme hakkı nedir", "GDPR", "KVKK")], "query_id int, query string, reg_a string, reg_b string")
+    answer = ask.compare(pairs, chunks, vectors=vectors, embed=embed).first().answer
+    assert "Article 17" in answer and ask.DEGRADED.strip()[:40] in answer
+
+
+def test_stored_index(spark, chunks, tmp_path):
+    q = spark.createDataFrame([(1, "ict incidents"), (2, "breach")], "query_id int, query string")
+    rank.lexical_index(chunks).save(str(tmp_path))
+    stored = rank.open_index(chunks, str(tmp_path))
+    as_rows = lambda df: sorted(map(tuple, df.collect()))
+    assert as_rows(rank.bm25(q, chunks, 5, lexical=stored)) == as_rows(rank.bm25(q, chunks, 5)) != []
+    kept = rank.lexical_index(chunks, keep=True)
+    assert as_rows(rank.bm25(q, chunks, 5, regulations="GDPR", lexical=kept)) == as_rows(rank.bm25(q, chunks, 5, regulations="GDPR"))
+    kept.release()
+
+
+def test_nearest_vectors(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(str(i), i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(300)] + [("n", 300, None)]
+    v = spark.createDataFrame(rows, "id string, pos long, vector array<double>").repartition(5)
+    q = v.where("pos < 20").select(F.struct(F.col("pos").alias("a")).alias("query_id"), "vector")
+    got = [(r.query_id.a, r["rank"], r.id, r.score) for r in rank.cosine_knn(q, v, 7, floor=0.2).collect()]
+    want = []
+    norm = lambda x: sum(a * a for a in x) ** 0.5
+    for i in range(20):
+        x = rows[i][2]
+        scored = sorted((-round(sum(a * b for a, b in zip(x, y, strict=True)) / norm(x) / norm(y), 6), p, j) for j, p, y in rows[:300] if norm(x) and norm(y))
+        want += [(i, n + 1, j, -s) for n, (s, p, j) in enumerate(scored[:7]) if -s >= 0.2]
+    assert sorted(got) == sorted(want)
+    assert rank.cosine_knn(q.limit(0), v, 3).count() == 0
+
+
+def test_retrieval_driver_and_run_checks(spark, chunks):
+    gold = spark.createDataFrame([(1, "ict incidents", "DORA", ["17"], "en"), (2, "x", "NIS2", ["1"], "en"), (3, "nothing here", "GDPR", ["33"], "en")], "query_id int, query string, regulation string, expected array<string>, language string")
+    rows, score = evaluate.evaluate_retrieval(gold, chunks, lambda q: rank.bm25(q, chunks, 6).join(chunks.select("id", "article_number"), "id"), "regulation")
+    found = {r.query_id: (r.hit, r.first_hit_rank) for r in rows.collect()}
+    assert found == {1: (True, 1), 3: (False, None)}
+    assert score.where("regulation IS NULL").first().total == 2
+    cases = spark.createDataFrame([(1, [("DORA", "5")], True, ["GDPR"], ["Breach"], ["never"])], "query_id int, must array<struct<regulation:string,article:string>>, zero_citations boolean, only array<string>, contains_any array<string>, contains_none array<string>")
+    kind = "query_id int, run int, answer string, indices array<int>, cited array<struct<regulation:string,article:string>>, retrieved array<struct<regulation:string,article:string>>"
+    runs = spark.createDataFrame([(1, 1, "a breach", [], [], [("DORA", "5")]), (1, 2, "NEVER [1] [2]", [1], [("DORA", "6")], [])], kind)
+    failed = {r.run: r.failures for r in evaluate.run_failures(cases, runs).collect()}
+    assert failed[1] == [] and len(failed[2]) == 6
+
+
+def test_dimensions(spark):
+    from clausewise.sources import dimensions
+
+    docs = {r.doc_id: r for r in dimensions.documents(spark).collect()}
+    assert len(docs) == 22 and dimensions.regulations(spark).count() == 4
+    act = docs["DORA-ITS-2025-302-incident-reporting-forms"]
+    assert act.document_label == "Commission Implementing Regulation (EU) 2025/302" and act.url == "https://eur-lex.europa.eu/eli/reg_impl/2025/302/oj" and act.parser == "articles"
+    assert docs["KVKK-KK-2019-10"].language == "tr" and not docs["DORA-JC-2024-34-guidelines-costs-and-losses"].in_force
+
+
+def test_places_of_chunks_follow_the_corpus(spark):
+    from clausewise import schemas
+    from clausewise.operators import chunk
+
+    rows = [(f"d{i}", j, "R", str(j), "", "", "x" * 10, "", "en", "statute", None, True, "") for i in range(5) for j in range(40)]
+    got = chunk.chunk_articles(spark.createDataFrame(rows, schemas.ARTICLES).repartition(7)).orderBy("pos").collect()
+    assert [(r.doc_id, r.article_number) for r in got] == [(r[0], r[3]) for r in rows] and len({r.pos for r in got}) == 200
