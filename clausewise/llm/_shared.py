@@ -73,8 +73,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    mark = None
-    while True:
+    state = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    mark = state(now)
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -86,10 +87,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(large)
         scratch.drop(now)
         now = after
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (row["n"], row["h"]):
+        before, mark = mark, state(now)
+        if mark == before:
             break
-        mark = (row["n"], row["h"])
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return members.unionByName(roots).distinct()
@@ -102,9 +102,11 @@ def batches(columns: dict[str, pa.DataType]) -> Callable[[dict[str, list]], pa.R
 
 
 def small_slices(stream: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of ``column`` at the most, one row at least."""
+    """The same rows in batches of about ``most`` bytes of ``column`` (``a.b``: field b of a) at the most, one row at least."""
+    outer, _, inner = column.partition(".")
     for batch in stream:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        values = pc.struct_field(batch.column(outer), inner) if inner else batch.column(outer)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
