@@ -355,7 +355,13 @@ def hybrid_search(
         if vectors is not None and query_vectors is not None:
             lists.append(cosine_knn(query_vectors, vectors, wide, condition=allowed(regulation, doc_types)))
         lists.append(bm25(wording, chunks, wide, regulations=regulation, doc_types=doc_types, lexical=lexical))
-    fused = lists[0].select("query_id", "rank", "id", "score") if len(lists) == 1 else fuse(lists)
+    if len(lists) == 2 and vectors is None:
+        # only questions with a second wording have two lists
+        twice = queries.where("extra IS NOT NULL").select("query_id")
+        once = lists[0].select("query_id", "rank", "id", "score").join(twice, "query_id", "left_anti")
+        fused = once.unionByName(fuse([x.join(twice, "query_id", "left_semi") for x in lists]))
+    else:
+        fused = lists[0].select("query_id", "rank", "id", "score") if len(lists) == 1 else fuse(lists)
     n = min(max(top_k // 2, 1), 4)
     metadata = chunks.select("id", "regulation", "article_number", "document_label")
     articles = reserved_articles(queries, chunks, regulation, n)
