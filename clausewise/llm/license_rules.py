@@ -92,8 +92,8 @@ FAMILIES: list[tuple[str, str, str, str]] = [
     ("x11", "x11 license", "x11 license", "x11"),
     ("xfree86-1.1", "xfree86", "xfree86 license(?: 1 1)?", "xfree86 1 1"),
     ("zpl-2.1", "zope public", "zope public license(?: (?:zpl )?(?:v|version )?2 1)?", "zpl 2 1"),
-    ("anti-996", "anti 996", "anti 996 license", "anti 996"),
-    ("beerware", "beer ware", "(?:the )?beer ware license", "beerware"),
+    ("anti-996", "996", "anti 996 license", "anti 996"),
+    ("beerware", "ware", "(?:the )?beer ware license", "beerware"),
     ("hippocratic", "hippocratic", "hippocratic license(?: (?:version )?[1-3] [0-9])?", "hippocratic 2 1"),
     ("commons-clause", "commons clause", "commons clause(?: license)?(?: condition)?", "commons clause"),
     ("gemma", "gemma terms", "gemma terms of use", "gemma"),
@@ -185,7 +185,7 @@ NOTICES: list[tuple[str, str, str]] = [
     ("gpl-with-classpath-exception", "linking this library", "linking this library statically or dynamically with other modules is making a combined work"),
     ("gpl-with-gcc-exception", "runtime library exception", "gcc runtime library exception"),
     ("gpl-with-autoconf-exception", "autoconf", "as a special exception (?:\\S+ ){1,20}?configuration script generated by autoconf"),
-    ("llvm-exception", "with llvm", "apache 2 0 with llvm exceptions?"),
+    ("llvm-exception", "llvm", "apache 2 0 with llvm exceptions?"),
     ("gfdl", "invariant sections", "with no invariant sections (?:no|with no) front cover texts"),
     ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation"),
     ("apache-2.0", "asf", "licensed to the apache software foundation asf under one or more contributor license agreements"),
@@ -207,9 +207,9 @@ NOTICES: list[tuple[str, str, str]] = [
     ("ofl-1.1", "reserved font name", "with reserved font name"),
     ("ofl-1.1", "scripts sil org", "scripts sil org ofl"),
     ("json", "used for good", "the software shall be used for good not evil"),
-    ("beerware", "buy me a beer", "you can buy me a beer in return"),
-    ("wtfpl", "do what the", "do what the fuck you want to public license"),
-    ("wtfpl", "you just do", "you just do what the fuck you want to"),
+    ("beerware", "in return", "you can buy me a beer in return"),
+    ("wtfpl", "fuck", "do what the fuck you want to public license"),
+    ("wtfpl", "fuck", "you just do what the fuck you want to"),
     ("curl", "daniel stenberg", "copyright c (?:\\S+ ){1,12}?daniel stenberg"),
     ("hpnd", "permission to use copy modify", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
     ("ntp", "permission to use copy modify", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted"),

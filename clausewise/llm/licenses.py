@@ -11,10 +11,15 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _gate_word(keyword: str) -> str:
+    """The word of a keyword that few texts have."""
+    return max(keyword.split(), key=len)
+
+
 def _gate(table: list[Rule]) -> Column:
     """Words of which every text that holds a rule's keyword or a base phrase has one, and few others have any."""
     keywords = {r.keyword for r in table} | {p for p, _ in BASE}
-    return F.array(*[F.lit(w) for w in sorted({max(k.split(), key=len) for k in keywords})])
+    return F.array(*[F.lit(w) for w in sorted(set(map(_gate_word, keywords)))])
 
 
 def _spaces(text: Column) -> Column:
@@ -50,9 +55,9 @@ def scan_licenses(
 ) -> DataFrame:
     """Licence detections in whole texts; no shuffle.
 
-    Texts are lowered (A-Z) and cut into words.  A text that holds none of the
-    rules' keywords passes with empty results; on others each rule whose keyword
-    occurs is matched over the words.  Detections are resolved in order of their
+    Texts are lowered (A-Z) and cut into words.  A text that holds no
+    rule's gate word (the longest of its keyword) passes with empty results; on others
+    each rule whose gate word and keyword occur is matched over the words.  Detections are resolved in order of their
     first word, the longer one first: one that lies inside a detection of the same
     or a better tier is suppressed.  Returns ``doc_id, n_words, base`` (array of
     first word, last word, label of the fixed phrases), ``detections`` (count that
@@ -70,12 +75,15 @@ def scan_licenses(
     base = source.withColumn("low", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).select(
         "doc_id",
         F.size("low").cast("long").alias("n_words"),
-        F.when(F.arrays_overlap("low", _gate(table)), norm).otherwise(none).alias("norm"),
+        F.array_intersect("low", _gate(table)).alias("hits"),
+        "text",
     )
+    base = base.select("doc_id", "n_words", "hits", F.when(F.size("hits") > 0, norm).otherwise(none).alias("norm"))
     listed = F.array(
         *[
             F.struct(
                 F.lit(r.label).alias("label"),
+                F.lit(_gate_word(r.keyword)).alias("word"),
                 F.lit(r.keyword).alias("keyword"),
                 F.lit(r.pattern).alias("pattern"),
                 F.lit(r.tier).alias("tier"),
@@ -86,7 +94,7 @@ def scan_licenses(
     )
     found = F.flatten(
         F.transform(
-            F.filter(listed, lambda r: F.contains(F.col("norm"), r["keyword"])),
+            F.filter(listed, lambda r: F.array_contains(F.col("hits"), r["word"]) & F.contains(F.col("norm"), r["keyword"])),
             lambda r: F.transform(
                 _places(F.col("norm"), r["pattern"]),
                 lambda p: F.struct(
