@@ -125,6 +125,31 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.filteraudit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.whitening import whiten
+
+    done = whiten(_table(spark, sf_dir, "embeddings"))
+    # an exact sum that a long can't hold stays in the decimal column
+    return done.withColumns({"deviation_exact": F.col("deviation"), "deviation": F.expr("try_cast(deviation AS long)")})
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.secretscan import BASE, scan_secrets
+
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
@@ -168,5 +193,43 @@ FROM c LEFT JOIN n USING (vec_id)
 """
 
 
+OP11_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+f AS (
+  SELECT doc_id, part,
+         concat(CASE WHEN len(words) < 200 THEN 'A' END,
+                CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+                CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) THEN 'C' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+                CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS mask
+  FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT k1.x || k2.x || k3.x || k4.x || k5.x AS filter_order
+  FROM k k1, k k2, k k3, k k4, k k5 WHERE len(list_distinct([k1.x, k2.x, k3.x, k4.x, k5.x])) = 5),
+s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter, '[' || substr(filter_order, 1, step - 1) || '0]' AS earlier
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+m AS (
+  SELECT *, contains(mask, letter) AS fails, regexp_matches(mask, earlier) AS gone FROM c, s)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept,
+       CAST(sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+       CAST(sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+       CAST(sum(CASE WHEN mask = letter THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+       CAST(sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+       CAST(sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost,
+       CAST(sum(CASE WHEN fails THEN n * 120 // length(mask) ELSE 0 END) AS BIGINT) AS shapley
+FROM m GROUP BY part, filter_order, step
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_embedding_dedup": OP9_SQL, "op8_chat_format": OP8_SQL}
+    return {"op9_embedding_dedup": OP9_SQL, "op8_chat_format": OP8_SQL, "op11_filter_audit": OP11_SQL}
