@@ -149,14 +149,13 @@ class Scanner:
                         yield m.start() + a, len(BASE) + k, m.start() + b, bits
 
     def scan(self, text: str) -> list[tuple[int, int, int, float | None]]:
-        """All spans by start, kind and end; one by entropy that lies inside a span of an earlier kind says nothing new and goes."""
-        out: list[tuple[int, int, int, float | None]] = [(a, k, b, None) for a, k, b in self.base(text)]
-        extra = list(self.entropy(text))
+        """All spans by start, kind and end; one by entropy inside a span of an earlier character class says nothing new and goes."""
+        extra: list[tuple[int, int, int, float]] = []
+        found = list(self.entropy(text))
         for k in range(len(BASE), len(BASE) + len(self.classes)):
-            new = [s for s in extra if s[1] == k]
-            if new:
-                out += _outside(new, out)
-        return sorted(out, key=lambda s: s[:3])
+            new = [s for s in found if s[1] == k]
+            extra += _outside(new, extra) if new else []
+        return sorted([*((*s, None) for s in self.base(text)), *extra], key=lambda s: s[:3])
 
 
 def _outside(new: Iterable[tuple], known: list[tuple]) -> list[tuple]:
@@ -183,7 +182,8 @@ def scan_secrets(docs: DataFrame, scanner: Scanner | None = None, *, id: str = "
     fixed kinds are leftmost matches that don't overlap within a kind.  Beside them,
     in each maximal run of a class's alphabet, windows whose Shannon entropy reaches
     the class's bound are joined where they overlap; runs on the allow-list and spans
-    inside one of an earlier kind are left out.
+    inside one of an earlier class are left out.  A secret that a fixed kind finds, too, is
+    reported by both.
 
     Null and empty texts have no spans; texts of any length are read whole; null ids
     and repeated rows are rows like others; columns but ``id`` and ``text`` are ignored

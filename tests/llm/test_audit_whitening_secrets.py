@@ -224,7 +224,7 @@ def brute_secrets(text, scanner):
     known = [(a, kinds.index(k), b) for a, _, k, b in base]
     for i, kind in enumerate(scanner.classes):
         new = brute_windows(text, kind, scanner)
-        known += [(a, 3 + i, b) for a, b in new if not any(c <= a and b <= d for c, _, d in known)]
+        known += [(a, 3 + i, b) for a, b in new if not any(c <= a and b <= d for c, k, d in known if k > 2)]
     show = lambda spans: ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(spans))
     return show([s for s in known if s[1] < 3]), show(known)
 
