@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from clausewise.functions import routing, text
-from clausewise.operators import catalog, chunk, cite, evaluate, index, parse, rank
+from clausewise.operators import catalog, chunk, cite, evaluate, index, parse, postings, rank
+from clausewise.operators import vectors as vector_index
 from clausewise.plans import ask
 from clausewise.sources import sinks
+from clausewise.session import scratch_dir
 from clausewise.streaming import tags
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +124,23 @@ def bm25_filtered_floor(spark, d):
     return found.select(F.col("query_id").alias("item_id"), F.col("pos").alias("doc_id"), "rank", "score")
 
 
+@query(SQL["bm25_topk"])
+def bm25_blocks(spark, d):
+    """The same from a stored index, of whose blocks only those are opened that can matter."""
+    path = scratch_dir(spark, "postings")
+    postings.save(corpus(spark, d), path)
+    found = postings.open_blocks(spark, path).search(questions(spark, d), 18)
+    return found.select(F.col("query_id").alias("item_id"), F.col("pos").alias("doc_id"), "rank", "score")
+
+
+@query(SQL["bm25_filtered_floor"])
+def bm25_blocks_filtered(spark, d):
+    path = scratch_dir(spark, "postings")
+    postings.save(corpus(spark, d), path)
+    found = postings.open_blocks(spark, path).search(questions(spark, d), 18, regulations=["src0", "src3", "src5"], doc_types="statute")
+    return found.select(F.col("query_id").alias("item_id"), F.col("pos").alias("doc_id"), "rank", "score")
+
+
 KNN = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
@@ -146,6 +165,22 @@ def semantic_floor(spark, d):
     return rank.cosine_knn(q, v, 18, floor=0.3).select("query_id", F.col("pos").alias("vec_id"), "rank", "score")
 
 
+@query(SQL["semantic_topk"])
+def vector_index_all_lists(spark, d):
+    """All lists of the stored index probed: every vector is in it, and the search is exact."""
+    v, q = vectors(spark, d)
+    index_ = vector_index.build(v, scratch_dir(spark, "vectors"))
+    return index_.nearest(q, 18, probes=len(index_.centroids), floor=None).select("query_id", F.col("pos").alias("vec_id"), "rank", "score")
+
+
+@query()
+def vector_index_topk(spark, d):
+    """The lists nearest to each question probed."""
+    v, q = vectors(spark, d)
+    found = vector_index.build(v, scratch_dir(spark, "vectors")).nearest(q, 18, floor=None)
+    return found.select("query_id", F.col("pos").alias("vec_id"), "rank", "score")
+
+
 def customer_lists(spark: SparkSession, d: str) -> list[DataFrame]:
     """Two rankings of customers per market segment: by balance, and by what they ordered."""
     c = table(spark, d, "customer")

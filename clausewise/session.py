@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,3 +51,42 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+#: The folder of a local session that names none, made when it is first needed.
+_own_dir: str | None = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and all
+    runs in one process (as in tests) a temporary folder takes its place; on a
+    cluster an unset one is an error, since executors could not see such a folder.
+    """
+    global _own_dir
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    _own_dir = _own_dir or tempfile.mkdtemp(prefix="clausewise-")
+    return _own_dir
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows, if it is there and the session still is."""
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already; the folder is scratch
+        pass
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted at exit."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
