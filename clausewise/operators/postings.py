@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from clausewise.operators.rank import DIGITS, K1, LEXICAL_FLOOR, B, allowed, corpus_stats, document_lengths, postings, query_terms, term_stats, top
+from clausewise.session import keep, scratch_dir
 
 #: Places that a block covers, and best weights that are kept of each term and group.
 SPAN, TOPS = 1024, 64
@@ -55,14 +56,15 @@ class BlockIndex:
     terms: DataFrame
 
     def wanted(self, queries: DataFrame, n: int, condition: Column) -> DataFrame:
-        """(query_id, term, factor, most, others, least, essential) of the questions' terms.
+        """(query_id, term, factor, most, worst, others, least, essential, cap, caps) of the questions' terms.
 
         ``factor`` times a weight is a posting's share of the score, ``most`` the largest
         share among allowed postings and ``others`` the sum of the other terms' largest.
         ``least`` is a score that ``n`` allowed rows reach: the n-th best weight of the
         question's best term, less what terms of negative idf may take away.  Terms are
         essential from where, taken in rising order of ``most``, their sum reaches ``least``:
-        a row with none of these can't.
+        a row with none of these can't.  ``cap`` is what a term can add to a row in none
+        of the blocks that are opened, ``caps`` the sum over the question's terms.
         """
         terms = query_terms(queries).join(self.terms, "term").select("query_id", "term", (F.col("idf") * F.col("n_q")).alias("factor"))
         here = self.bounds.where(condition).join(terms.select("term").distinct(), "term", "left_semi")
@@ -85,18 +87,39 @@ class BlockIndex:
             "term",
             "factor",
             "most",
+            "worst",
             (F.sum("most").over(whole) - F.col("most")).alias("others"),
             F.greatest(F.coalesce(F.max("nth").over(whole) + F.sum("worst").over(whole), F.lit(0.0)), F.lit(0.0)).alias("least"),
             F.sum("most").over(rising).alias("reach"),
-        ).withColumn("essential", F.col("reach") >= F.col("least") - SLACK)
+        ).withColumn("essential", F.col("reach") >= F.col("least") - SLACK).withColumn(
+            # of an essential term only blocks whose bound stays below ``least`` go unseen
+            "cap", F.when(F.col("essential"), F.least("most", F.greatest(F.lit(0.0), F.col("least") - F.col("others")))).otherwise(F.col("most"))
+        ).withColumn("caps", F.sum("cap").over(whole))
 
     def candidates(self, wanted: DataFrame, condition: Column) -> DataFrame:
-        """(query_id, regulation, doc_type, slot, pos, id): rows of those blocks of essential terms whose bound reaches ``least``."""
+        """(query_id, regulation, doc_type, slot, pos, id, partial, unseen, least): rows of those blocks of essential terms whose bound reaches ``least``.
+
+        ``partial`` is their score in these blocks, ``unseen`` what other terms can add.
+        """
         essential = wanted.where("essential")
-        kept = (F.col("factor") * F.col("most_here") + F.col("others") >= F.col("least") - SLACK) | (F.col("factor") < 0)
-        blocks = self.blocks.where(condition).withColumnRenamed("most", "most_here").join(essential, "term").where(kept)
-        rows = blocks.select("query_id", *GROUP, "slot", F.explode("postings").alias("p"))
-        return rows.select("query_id", *GROUP, "slot", F.col("p.pos").alias("pos"), F.col("p.id").alias("id")).distinct()
+        blocks = self.blocks.where(condition).withColumnRenamed("most", "most_here").join(essential, "term").where(_opened())
+        rows = blocks.select("query_id", *GROUP, "slot", "factor", "cap", "caps", "least", F.explode("postings").alias("p"))
+        return rows.groupBy("query_id", *GROUP, "slot", F.col("p.pos").alias("pos"), F.col("p.id").alias("id")).agg(
+            F.sum(F.col("factor") * F.col("p.w")).alias("partial"),
+            (F.first("caps") - F.sum("cap")).alias("unseen"),
+            F.first("least").alias("least"),
+        )
+
+    @staticmethod
+    def contenders(candidates: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+        """Candidates that can still be among the best ``n``: the n-th best partial score, less what negative terms may take away, is a bound, too."""
+        order = W.partitionBy("query_id").orderBy(F.desc("partial"))
+        reached = candidates.select("query_id", "partial").withColumn("at", F.row_number().over(order)).where(F.col("at") <= n)
+        reached = reached.groupBy("query_id").agg(F.min("partial").alias("nth"), F.count("*").alias("n"))
+        loss = wanted.groupBy("query_id").agg(F.sum("worst").alias("loss"))
+        reached = reached.join(loss, "query_id").select("query_id", F.when(F.col("n") == n, F.col("nth") + F.col("loss")).alias("reached"))
+        rows = candidates.join(reached, "query_id")
+        return rows.where(F.col("partial") + F.col("unseen") >= F.greatest("least", "reached") - SLACK)
 
     def search(
         self,
@@ -110,25 +133,34 @@ class BlockIndex:
         """(query_id, rank, id, score, pos): the same rows as ``rank.bm25``.
 
         Rows come from blocks of essential terms whose greatest weight, with all that the
-        other terms could add, reaches the bound.  Only they are then scored whole, from
-        the one block of each term that covers their place.
+        other terms could add, reaches the bound.  Those that still reach it with the terms
+        not seen get these terms' shares from the blocks that cover their place.
         """
         condition = allowed(regulations, doc_types)
-        wanted = self.wanted(queries, n, condition)
-        found = self.candidates(wanted, condition)
-        asked = found.join(wanted.select("query_id", "term", "factor"), "query_id")
-        cells = self._cells(asked)
+        scratch = scratch_dir(queries.sparkSession, "search")
+        wanted = keep(self.wanted(queries, n, condition), f"{scratch}/wanted")
+        found = self.contenders(keep(self.candidates(wanted, condition), f"{scratch}/candidates"), wanted, n)
+        asked = found.select("query_id", *GROUP, "slot", "pos", "id").join(
+            wanted.where("cap > 0 OR NOT essential").select("query_id", "term", "factor", "others", "least", "essential"), "query_id"
+        )
         share = F.get(F.filter("postings", lambda p: (p["pos"] == F.col("pos")) & (p["id"] == F.col("id"))), F.lit(0))["w"] * F.col("factor")
-        scored = cells.withColumn("share", share).groupBy("query_id", "id", "pos").agg(F.round(F.sum("share"), DIGITS).alias("score")).where("score > 0")
+        rest = self._unopened(asked).select("query_id", "id", "pos", share.alias("share"))
+        shares = found.select("query_id", "id", "pos", F.col("partial").alias("share")).unionByName(rest)
+        scored = shares.groupBy("query_id", "id", "pos").agg(F.round(F.sum("share"), DIGITS).alias("score")).where("score > 0")
         best = F.max("score").over(W.partitionBy("query_id"))
         kept = top(scored, n).withColumn("best", best).where(F.col("score") >= floor * F.col("best"))
         return kept.select("query_id", "rank", "id", "score", "pos")
 
-    def _cells(self, asked: DataFrame) -> DataFrame:
-        """``asked`` (candidate, term) with the postings of the block that covers the candidate's place, if the term is in it."""
-        right = self.blocks.select("term", "slot", "postings", *[F.col(c).alias(f"block_{c}") for c in GROUP])
+    def _unopened(self, asked: DataFrame) -> DataFrame:
+        """``asked`` (candidate, term) with the block that covers the candidate's place, if the term has one and it wasn't opened for candidates."""
+        right = self.blocks.select("term", "slot", "postings", F.col("most").alias("most_here"), *[F.col(c).alias(f"block_{c}") for c in GROUP])
         same = [F.col(c).eqNullSafe(F.col(f"block_{c}")) for c in GROUP]
-        return asked.join(right, ["term", "slot"]).where(same[0] & same[1])
+        return asked.join(right, ["term", "slot"]).where(same[0] & same[1] & ~(F.col("essential") & _opened()))
+
+
+def _opened() -> Column:
+    """Whether a block of an essential term can hold a row that reaches ``least``."""
+    return (F.col("factor") * F.col("most_here") + F.col("others") >= F.col("least") - SLACK) | (F.col("factor") < 0)
 
 
 def open_blocks(spark: SparkSession, path: str) -> BlockIndex:

@@ -90,3 +90,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(delete, spark, path)
     return path
+
+
+def keep(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back, so that it is computed once and survives lost executors."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
