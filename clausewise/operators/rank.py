@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from clausewise.functions.text import is_statute, requested_articles, tokenize
-from clausewise.session import map_batches
+from clausewise.session import keep, map_batches, scratch_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -87,16 +87,22 @@ class LexicalIndex:
     def scores(self, queries: DataFrame, condition: Column | None = None) -> DataFrame:
         """(query_id, id, pos, score) of every allowed chunk that has a term of the question.
 
-        Statistics are those of the whole corpus, whatever is filtered.
+        Statistics are those of the whole corpus, whatever is filtered.  If questions have
+        a ``regulation``, only its chunks are allowed to each; null allows all.
         """
         wanted = query_terms(queries).join(self.terms, "term")
         rows = self.chunks if self.stored is None else self.stored
         rows = rows if condition is None else rows.where(condition)
         posted = postings(rows, wanted) if self.stored is None else rows
         weight = F.col("idf") * F.col("n_q") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        if "regulation" in queries.columns:
+            scoped = wanted.join(queries.select("query_id", "regulation"), "query_id")
+            own = posted.join(scoped, ["term", "regulation"])
+            met = own.unionByName(posted.join(scoped.where("regulation IS NULL").drop("regulation"), "term").select(*own.columns))
+        else:
+            met = posted.join(wanted, "term")
         return (
-            posted.join(wanted, "term")
-            .join(F.broadcast(self.stats.select("avgdl")))
+            met.join(F.broadcast(self.stats.select("avgdl")))
             .groupBy("query_id", "id", "pos")
             .agg(F.round(F.sum(weight), DIGITS).alias("score"))
         )
@@ -123,6 +129,14 @@ def lexical_index(chunks: DataFrame, keep: bool = False) -> LexicalIndex:
     return LexicalIndex(chunks, term_stats(chunks, stats).persist(), stats, postings(chunks).persist())
 
 
+def index_for(chunks: DataFrame, wordings: Sequence[DataFrame]) -> LexicalIndex:
+    """Statistics of ``chunks`` and the postings of the terms of some questions (query), computed once into the shared folder."""
+    path = scratch_dir(chunks.sparkSession, "lexical")
+    stats = keep(corpus_stats(document_lengths(chunks)), f"{path}/stats")
+    asked = reduce(DataFrame.unionByName, [w.select(F.explode(tokenize(F.col("query"))).alias("term")) for w in wordings]).distinct()
+    return LexicalIndex(chunks, keep(term_stats(chunks, stats), f"{path}/terms"), stats, keep(postings(chunks, asked), f"{path}/postings"))
+
+
 def open_index(chunks: DataFrame, path: str) -> LexicalIndex:
     """A stored index of ``chunks``."""
     read = chunks.sparkSession.read
@@ -145,12 +159,20 @@ def allowed(regulations: Sequence[str] | str | None = None, doc_types: Sequence[
     return condition
 
 
-def top(scored: DataFrame, n: int | Column, ties: Sequence[str] = ("pos",)) -> DataFrame:
+def top(scored: DataFrame, n: int, ties: Sequence[str] = ("pos",)) -> DataFrame:
     """Ranks by score, ties in order of insertion, and keeps ``n`` a question."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), *ties)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def limited(ranked: DataFrame, queries: DataFrame, share) -> DataFrame:
+    """Of lists cut to the largest ``k`` already, each question's own number: ``share`` of its ``k``, if questions have one."""
+    if "k" not in queries.columns:
+        return ranked
+    own = queries.select("query_id", share(F.col("k")).alias("_n"))
+    return ranked.join(own, "query_id").where(F.col("rank") <= F.col("_n")).drop("_n")
+
+
 def bm25(
     queries: DataFrame,
     chunks: DataFrame,
@@ -179,13 +201,15 @@ QUESTIONS = 4096
 def cosine_knn(queries: DataFrame, vectors: DataFrame, n: int, *, floor: float | None = SEMANTIC_FLOOR, condition: Column | None = None) -> DataFrame:
     """Semantic search: the ``n`` nearest first, then those above the floor.
 
-    ``queries`` has query_id and vector, ``vectors`` id, pos, vector and metadata.
+    ``queries`` has query_id and vector, ``vectors`` id, pos, vector and metadata.  If
+    questions have a ``regulation``, only its vectors are theirs; null allows all.
     Exact: blocks of ``QUESTIONS`` questions are broadcast, each batch of allowed
     vectors is multiplied with a block at once and passes on, of each question, its
     best ``n`` and what ties with them; one window over those ends it.
     """
     rows = vectors.where(condition) if condition is not None else vectors
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    scope = F.col("regulation") if "regulation" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), scope.alias("regulation")).where("vector IS NOT NULL")
     blocks = max(1, -(-asked.count() // QUESTIONS))
     found = None
     for k in range(blocks):
@@ -206,7 +230,14 @@ def _nearest(asked: list, kind: StructField, rows: DataFrame, n: int) -> DataFra
     spark = rows.sparkSession
     numbered = spark.createDataFrame([(i, q["query_id"]) for i, q in enumerate(asked)], StructType([StructField("q", IntegerType()), kind]))
     matrix = spark.sparkContext.broadcast(np.array([q["vector"] for q in asked]))
-    rows = rows.select("id", "pos", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    scopes = [q["regulation"] for q in asked]
+    scoped = {r: np.array([k for k, s in enumerate(scopes) if s is not None and s != r], dtype=int) for r in {*scopes} - {None}}
+    others = np.array([k for k, s in enumerate(scopes) if s is not None], dtype=int)
+    regulation = F.col("regulation") if scoped else F.lit(None).cast("string")
+    size = len(asked[0]["vector"]) if asked else 0
+    # a vector of another length has no cosine with the questions' ones
+    sound = (F.size("vector") == size) & F.forall("vector", lambda x: x.isNotNull())
+    rows = rows.select("id", "pos", F.col("vector").cast("array<double>").alias("vector"), regulation.alias("regulation")).where(sound)
     schema = pa.schema([("q", pa.int32()), ("id", pa.string()), ("pos", pa.int64()), ("score", pa.float64())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +250,9 @@ def _nearest(asked: list, kind: StructField, rows: DataFrame, n: int) -> DataFra
             v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             # a vector without a direction is near nothing
             score = np.nan_to_num(np.round(asked @ _unit(v).T, DIGITS), nan=-np.inf)
+            if scoped:
+                for j, r in enumerate(batch.column("regulation").to_pylist()):
+                    score[scoped.get(r, others), j] = -np.inf
             least = np.partition(score, -n, axis=1)[:, -n, None] if batch.num_rows > n else score.min(1, keepdims=True)
             q, at = np.nonzero((score >= least) & (score > -np.inf))
             ids = [pc.take(batch.column(c), pa.array(at)) for c in ("id", "pos")]
@@ -240,16 +274,18 @@ def fuse(lists: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "id", "score")
 
 
-def diversity_cap(ranked: DataFrame, top_k: int, *, per_article: int = PER_ARTICLE, per_document: int | None = PER_DOCUMENT) -> DataFrame:
+def diversity_cap(ranked: DataFrame, top_k: int | None, *, per_article: int = PER_ARTICLE, per_document: int | None = PER_DOCUMENT) -> DataFrame:
     """Limits rows of one article and of one document among the first ``top_k``; what is left over fills up in order.
 
     Whether a row counts depends on which rows before it did, so it is a fold over
     each question's list, which is a few times ``top_k`` long.  ``ranked`` needs
-    query_id, rank, id, score, regulation, article_number and document_label.
+    query_id, rank, id, score, regulation, article_number and document_label, and k
+    (a question's own ``top_k``) if ``top_k`` is None.
     """
     row = F.struct("rank", "id", "score", F.concat_ws("\x00", F.coalesce("regulation", F.lit("")), F.coalesce("article_number", F.lit(""))).alias("a"),
                    F.when(F.coalesce("document_label", F.lit("")) != "", F.concat_ws("\x00", F.coalesce("regulation", F.lit("")), "document_label")).alias("d"))
-    lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    most = F.first("k") if top_k is None else F.lit(top_k)
+    lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), most.alias("most"))
     kind = "array<struct<rank:int,id:string,score:double,a:string,d:string>>"
     rows = F.col("rows").cast(kind)
 
@@ -259,15 +295,15 @@ def diversity_cap(ranked: DataFrame, top_k: int, *, per_article: int = PER_ARTIC
         if per_document is not None:
             same_document = F.size(F.filter(acc["kept"], lambda y: y["d"] == x["d"]))
             ok = ok & (x["d"].isNull() | (same_document < per_document))
-        full = F.size(acc["kept"]) >= top_k
+        full = F.size(acc["kept"]) >= F.col("most")
         return F.struct(
             F.when(ok & ~full, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
             F.when(ok | full, acc["rest"]).otherwise(F.concat(acc["rest"], F.array(x))).alias("rest"),
         )
 
     empty = F.array().cast(kind)
-    folded = lists.select("query_id", F.aggregate(rows, F.struct(empty.alias("kept"), empty.alias("rest")), place).alias("f"))
-    chosen = folded.select("query_id", F.posexplode(F.slice(F.concat("f.kept", "f.rest"), 1, top_k)).alias("i", "x"))
+    folded = lists.select("query_id", "most", F.aggregate(rows, F.struct(empty.alias("kept"), empty.alias("rest")), place).alias("f"))
+    chosen = folded.select("query_id", F.posexplode(F.slice(F.concat("f.kept", "f.rest"), F.lit(1), F.col("most"))).alias("i", "x"))
     return chosen.select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.id").alias("id"), F.col("x.score").alias("score"))
 
 
@@ -286,24 +322,32 @@ def document_numbers(chunks: DataFrame) -> DataFrame:
 def reserved_documents(queries: DataFrame, chunks: DataFrame, scores: DataFrame, n: int) -> DataFrame:
     """The best chunks of documents that a question names by number; no floor.
 
-    The question is cut into words that can be numbers, so the match is an
+    Of questions with a ``regulation`` only its documents count; null allows all.  The question is cut into words that can be numbers, so the match is an
     equi-join and not a regex for each pair.
     """
     numbers = F.array_distinct(F.regexp_extract_all("query", F.lit(r"(?U)\b\d+(?:/\d+)?\b"), F.lit(0)))
     parts = F.array_distinct(F.flatten(F.transform(numbers, lambda x: F.concat(F.array(x), F.split(x, "/")))))
     asked = queries.select("query_id", F.explode(parts).alias("number")).distinct()
     wanted = asked.join(document_numbers(chunks), "number").select("query_id", "regulation", "document_label").distinct()
+    if "regulation" in queries.columns:
+        scope = queries.select("query_id", F.col("regulation").alias("_only"))
+        wanted = wanted.join(scope, "query_id").where(F.col("_only").isNull() | (F.col("regulation") == F.col("_only"))).drop("_only")
     rows = chunks.select("id", "pos", "regulation", "document_label").join(wanted, ["regulation", "document_label"])
     scored = rows.join(scores.select("query_id", "id", "score"), ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return top(scored, n).select("query_id", "rank", "id", "score")
 
 
 def reserved_articles(queries: DataFrame, chunks: DataFrame, regulation: str | None, n: int) -> DataFrame:
-    """Chunks of statute articles that a question names, transitional ones of that number too."""
-    asked = queries.select("query_id", F.explode(requested_articles(F.col("query"))).alias("number"))
-    both = asked.select("query_id", F.explode(F.array("number", F.concat(F.lit("Geçici "), "number"))).alias("article_number"))
-    statutes = chunks.where(is_statute(F.col("doc_type")) & (F.col("regulation") == F.lit(regulation)))
-    rows = statutes.join(both.distinct(), "article_number").withColumn("score", F.lit(1.0))
+    """Chunks of statute articles that a question names, transitional ones of that number too.
+
+    The regulation is the given one, or each question's own if ``queries`` has it; a
+    number alone names nothing.
+    """
+    scope = F.col("regulation") if "regulation" in queries.columns else F.lit(regulation).cast("string")
+    asked = queries.select("query_id", scope.alias("regulation"), F.explode(requested_articles(F.col("query"))).alias("number"))
+    both = asked.select("query_id", "regulation", F.explode(F.array("number", F.concat(F.lit("Geçici "), "number"))).alias("article_number"))
+    statutes = chunks.where(is_statute(F.col("doc_type")))
+    rows = statutes.join(both.distinct(), ["regulation", "article_number"]).withColumn("score", F.lit(1.0))
     return top(rows, n, ties=("article_number", "chunk_index", "pos")).select("query_id", "rank", "id", "score")
 
 
@@ -340,21 +384,28 @@ def hybrid_search(
 ) -> DataFrame:
     """Lexical and semantic lists of 3 ``top_k`` each, fused, with reserved hits and caps: (query_id, rank, id, score, reserved).
 
-    ``queries`` may have a second wording per question in ``extra`` (null: none).
+    ``queries`` may have a second wording per question in ``extra`` (null: none), and
+    a ``regulation`` (null: all) and ``k`` of its own for each question; then ``regulation``
+    isn't given and ``top_k`` is the largest ``k``.  All questions are one plan.
     Without vectors the lexical list is the result's order and score.  Named
     articles come on top of ``top_k`` and win over named documents, which come out
     of it; reserved rows use up no quota.
     """
+    if regulation is not None:
+        queries = queries.withColumn("regulation", F.lit(regulation))
+    scoped = ["regulation"] if "regulation" in queries.columns else []
     wide = 3 * top_k
-    lexical = lexical or lexical_index(chunks, keep=True)
     lists = []
-    wordings = [queries.select("query_id", "query")]
+    wordings = [queries.select("query_id", "query", *scoped)]
     if "extra" in queries.columns:
-        wordings.append(queries.where("extra IS NOT NULL").select("query_id", F.col("extra").alias("query")))
+        wordings.append(queries.where("extra IS NOT NULL").select("query_id", F.col("extra").alias("query"), *scoped))
+    lexical = lexical or index_for(chunks, wordings)
     for wording in wordings:
         if vectors is not None and query_vectors is not None:
-            lists.append(cosine_knn(query_vectors, vectors, wide, condition=allowed(regulation, doc_types)))
-        lists.append(bm25(wording, chunks, wide, regulations=regulation, doc_types=doc_types, lexical=lexical))
+            asked = query_vectors.select("query_id", "vector").join(queries.select("query_id", *scoped), "query_id")
+            lists.append(limited(cosine_knn(asked, vectors, wide, condition=allowed(None, doc_types)), queries, lambda k: 3 * k))
+        found = bm25(wording, chunks, wide, regulations=regulation, doc_types=doc_types, lexical=lexical)
+        lists.append(limited(found, queries, lambda k: 3 * k))
     if len(lists) == 2 and vectors is None:
         # only questions with a second wording have two lists
         twice = queries.where("extra IS NOT NULL").select("query_id")
@@ -362,16 +413,17 @@ def hybrid_search(
         fused = once.unionByName(fuse([x.join(twice, "query_id", "left_semi") for x in lists]))
     else:
         fused = lists[0].select("query_id", "rank", "id", "score") if len(lists) == 1 else fuse(lists)
+    half = lambda k: F.least(F.greatest(F.floor(k / 2), F.lit(1)), F.lit(4))
     n = min(max(top_k // 2, 1), 4)
-    metadata = chunks.select("id", "regulation", "article_number", "document_label")
-    articles = reserved_articles(queries, chunks, regulation, n)
+    metadata = chunks.select("id", F.col("regulation"), "article_number", "document_label")
+    articles = limited(reserved_articles(queries, chunks, regulation, n), queries, half)
     scores = lexical.scores(queries.select("query_id", "query"))
     by_article = articles.select("query_id").distinct()
-    scope = chunks if regulation is None else chunks.where(F.col("regulation") == regulation)
-    documents = reserved_documents(queries, scope, scores, n).join(by_article, "query_id", "left_anti")
+    documents = limited(reserved_documents(queries, chunks, scores, n), queries, half).join(by_article, "query_id", "left_anti")
     reserved = articles.unionByName(documents)
     rest = fused.join(reserved.select("query_id", "id"), ["query_id", "id"], "left_anti").join(metadata, "id")
-    capped = diversity_cap(rest, top_k, per_article=per_article, per_document=per_document)
+    own = queries.select("query_id", F.col("k") if "k" in queries.columns else F.lit(top_k).alias("k"))
+    capped = diversity_cap(rest.join(own, "query_id"), None, per_article=per_article, per_document=per_document)
     both = reserve(capped, reserved)
-    additive = both.join(by_article.withColumn("additive", F.lit(True)), "query_id", "left")
-    return additive.where(F.col("additive") | (F.col("rank") <= top_k)).drop("additive")
+    additive = both.join(by_article.withColumn("additive", F.lit(True)), "query_id", "left").join(own, "query_id")
+    return additive.where(F.col("additive") | (F.col("rank") <= F.col("k"))).drop("additive", "k")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from clausewise.functions import routing, text
+from clausewise.functions.embed import SignedProjection, embed
 from clausewise.operators import catalog, chunk, cite, evaluate, index, parse, postings, rank
 from clausewise.operators import vectors as vector_index
 from clausewise.plans import ask
@@ -235,7 +236,7 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     """A question for each order priority, naming a decision, and an article."""
     o = table(spark, d, "orders").groupBy("o_orderpriority").agg((F.max("o_custkey") * 3).alias("k"))
     number = F.concat((F.lit(2000) + F.col("k") % 25).cast("string"), F.lit("/"), (F.col("k") % 90 + 1).cast("string"))
-    return o.select(F.col("o_orderpriority").alias("query_id"), F.concat(F.lit("what does decision "), number, F.lit(" add to article "), (F.col("k") % 40 + 1).cast("string"), F.lit(" for orders")).alias("query"))
+    return o.select(F.col("o_orderpriority").alias("query_id"), F.concat(F.lit("what does decision "), number, F.lit(" add to article "), ((F.col("k") % 2) * 20 + 1).cast("string"), F.lit(" for orders")).alias("query"))
 
 
 MENTIONS = """m AS (SELECT o_orderpriority AS query_id, max(o_custkey) * 3 AS k FROM orders GROUP BY 1)"""
@@ -252,7 +253,7 @@ def named_document_reserve(spark, d):
 
 
 @query(f"""WITH {CORPUS}, {MENTIONS}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank
-  FROM m JOIN corpus ON article_number = CAST(k % 40 + 1 AS VARCHAR) WHERE doc_type = 'statute' AND regulation = 'src0')
+  FROM m JOIN corpus ON article_number = CAST(k % 2 * 20 + 1 AS VARCHAR) WHERE doc_type = 'statute' AND regulation = 'src0')
 SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM r""")
 def named_article_reserve(spark, d):
     return rank.reserved_articles(mentions(spark, d), corpus(spark, d), "src0", 1_000_000_000).select("query_id", "id", "rank")
@@ -298,27 +299,49 @@ def compare_sides(spark, d):
 
 @query()
 def hybrid_search(spark, d):
-    """All of retrieval at once: hashed word vectors stand in for a model's."""
+    """All of retrieval at once: projections of term weights stand in for a model's vectors."""
     c = corpus(spark, d)
-    v = c.select("id", "pos", "regulation", "doc_type", hashed_vector(F.col("text")).alias("vector"))
+    v = embed(c, "text", SignedProjection(64)).select("id", "pos", "regulation", "doc_type", "vector")
     q = questions(spark, d)
-    found = rank.hybrid_search(q, c, top_k=6, vectors=v, query_vectors=q.select("query_id", hashed_vector(F.col("query")).alias("vector")))
+    found = rank.hybrid_search(q, c, top_k=6, vectors=v, query_vectors=embed(q, "query", SignedProjection(64)))
     return found.select("query_id", "rank", "id", "score", "reserved")
 
 
-def hashed_vector(column: Column, dims: int = 16) -> Column:
-    """A deterministic stand-in for a model: word counts by hash."""
-    slots = F.transform(text.tokenize(column), lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(dims)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+def branched(branches: str) -> str:
+    """SQL of lexical searches by branch (branch_no, scope, k): filter, floor, caps, then the first occurrence of each row."""
+    return f"""WITH RECURSIVE {BM25}, b AS (SELECT * FROM (VALUES {branches}) t(branch_no, scope, k)),
+f AS (SELECT item_id, branch_no, k, doc_id, source, score FROM sc JOIN documents USING (doc_id) JOIN b ON scope IS NULL OR source = scope WHERE score > 0),
+g AS (SELECT *, max(score) OVER (PARTITION BY item_id, branch_no) AS best, row_number() OVER (PARTITION BY item_id, branch_no ORDER BY score DESC, doc_id) AS rn FROM f),
+o AS MATERIALIZED (SELECT item_id, branch_no, k, doc_id, score, rn, source || '|' || (doc_id % 40 + 1) AS a,
+  CASE WHEN doc_id % 3 = 0 THEN source || '|' || (2000 + doc_id % 25) || '/' || (doc_id % 90 + 1) END AS dk FROM g WHERE rn <= 3 * k AND score >= 0.15 * best),
+s AS (SELECT DISTINCT item_id, branch_no, k, 0::BIGINT AS rn, []::BIGINT[] AS kept, []::VARCHAR[] AS ka, []::VARCHAR[] AS kd, []::BIGINT[] AS rest FROM o
+  UNION ALL
+  SELECT s.item_id, s.branch_no, s.k, o.rn, CASE WHEN ok AND NOT full_ THEN list_append(kept, doc_id) ELSE kept END, CASE WHEN ok AND NOT full_ THEN list_append(ka, a) ELSE ka END,
+    CASE WHEN ok AND NOT full_ THEN list_append(kd, dk) ELSE kd END, CASE WHEN ok OR full_ THEN rest ELSE list_append(rest, doc_id) END
+  FROM s JOIN o ON o.item_id = s.item_id AND o.branch_no = s.branch_no AND o.rn = s.rn + 1,
+  LATERAL (SELECT len(list_filter(ka, lambda x: x = a)) < 3 AND (dk IS NULL OR len(list_filter(kd, lambda x: x = dk)) < 2) AS ok, len(kept) >= s.k AS full_)),
+l AS (SELECT item_id, branch_no, k, list_concat(kept, rest) AS found FROM s WHERE rn = (SELECT max(rn) FROM s z WHERE z.item_id = s.item_id AND z.branch_no = s.branch_no)),
+c AS (SELECT item_id, branch_no, k, unnest(found) AS doc_id, generate_subscripts(found, 1) AS rank FROM l),
+u AS (SELECT c.*, score, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY branch_no, rank) AS nth FROM c JOIN o USING (item_id, branch_no, doc_id) WHERE rank <= c.k)
+SELECT item_id AS query_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY branch_no, rank) AS INTEGER) AS rank, CAST(doc_id AS VARCHAR) AS id, score FROM u WHERE nth = 1"""
 
 
-@query()
+@query(branched("(0, 'src0', 6)"))
 def ask_retrieve(spark, d):
-    """Question plans over the corpus: shapes, branches, one search per filter, first occurrence wins."""
+    """Question plans over the corpus: shapes, branches, one search, first occurrence wins."""
     q = questions(spark, d).withColumn("regulation", F.lit("src0"))
     return ask.retrieve(q, corpus(spark, d)).select("query_id", "rank", "id", "score")
 
 
+@query(branched("(0, 'src0', 4), (1, 'src3', 5), (2, NULL, 6)"))
+def ask_branches(spark, d):
+    """Three branches a question, two of them of one regulation each, as rows of one plan."""
+    branch = lambda r, k: F.struct(F.lit(r).cast("string").alias("regulation"), F.lit(k).alias("k"), F.lit(None).cast("string").alias("extra"))
+    rows = questions(spark, d).select("query_id", "query", F.posexplode(F.array(branch("src0", 4), branch("src3", 5), branch(None, 6))).alias("branch_no", "b"))
+    found = ask.search_branches(rows.select("query_id", "branch_no", "query", "b.*"), corpus(spark, d), None, None)
+    return rank.union_first_wins(found).select("query_id", "rank", "id", "score")
+
+
 CUES = ("does DORA apply", "GDPR and kvkk", "a payments startup in Istanbul", "a credit institution", "nothing here", "an EU bank in ankara")
 SAID = f"q AS (SELECT conv_id, turn, {list(CUES)}[conv_id % 6 + 1] || ': ' || text AS q FROM conversations WHERE role = 'user')"
 RE2 = lambda pattern: pattern.replace("(?iU)", "(?i)").replace("'", "''")
