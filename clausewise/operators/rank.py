@@ -414,6 +414,7 @@ def hybrid_search(
     else:
         fused = lists[0].select("query_id", "rank", "id", "score") if len(lists) == 1 else fuse(lists)
     half = lambda k: F.least(F.greatest(F.floor(k / 2), F.lit(1)), F.lit(4))
+    fused = keep(fused, f"{scratch_dir(chunks.sparkSession, 'fused')}/lists")
     n = min(max(top_k // 2, 1), 4)
     metadata = chunks.select("id", F.col("regulation"), "article_number", "document_label")
     articles = limited(reserved_articles(queries, chunks, regulation, n), queries, half)
