@@ -76,7 +76,8 @@ def embed(rows: DataFrame, text: str, provider: Embedder | None = None, out: str
     provider = provider or SignedProjection()
     ship(rows.sparkSession)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<double>")
+    def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if provider.key not in _loaded:
             _loaded[provider.key] = provider.load()
         for texts in batches:
@@ -85,5 +86,4 @@ def embed(rows: DataFrame, text: str, provider: Embedder | None = None, out: str
             made = provider.vectors(_loaded[provider.key], list(known))
             yield pd.Series([v.tolist() if t and v.any() else None for t, v in zip(known, made, strict=True)])
 
-    make = F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR_ITER)
     return rows.withColumn(out, make(F.col(text)))

@@ -224,7 +224,8 @@ def generate_pieces(prompts: DataFrame, llm: LLM, system: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for query_id, prompt in zip(frame["query_id"], frame["prompt"], strict=True):
-                pieces = list(llm.stream_chat(system, prompt, True))
-                yield pd.DataFrame({"query_id": [query_id] * len(pieces), "seq": range(len(pieces)), "piece": pieces})
+                # each piece leaves at once, so no answer is gathered
+                for seq, piece in enumerate(llm.stream_chat(system, prompt, True)):
+                    yield pd.DataFrame({"query_id": [query_id], "seq": [seq], "piece": [piece]})
 
     return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {kind}, seq int, piece string")

@@ -545,8 +545,8 @@ def clause_split(spark, d):
 
 @query("""SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'KVKK' WHEN 1 THEN 'GDPR' END AS home, CASE conv_id % 4 WHEN 0 THEN 'GDPR' WHEN 1 THEN 'KVKK' END AS destination FROM conversations WHERE role = 'user'""")
 def transfer_direction(spark, d):
-    """Which way data goes: places stand far from or near the verb of sending, with 100 characters of a user's text between."""
-    far = F.rpad(F.translate("text", "aAtTiIeEkKfFbBdD", "oooooooooooooooo"), 100, "-")
+    """Which way data goes: places stand far from or near the verb of sending, with a user's whole text and a hundred strokes between."""
+    far = F.concat(F.translate("text", "aAtTiIeEkKfFbBdD", "oooooooooooooooo"), F.lit("-" * 100))
     n = F.col("conv_id") % 4
     home = F.when(n == 0, "In Ankara ").when(n == 1, "In Berlin ").when(n == 2, "In Ankara ").otherwise("In Oslo ")
     to = F.when(n == 0, " we transfer it to Berlin").when(n == 1, " we transfer it to Ankara").when(n == 2, " we transfer it to Ankara").otherwise(" we transfer it to Berlin")

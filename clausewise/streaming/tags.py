@@ -43,20 +43,31 @@ class TagFilter:
         return rest
 
 
-def filter_stream(tokens: DataFrame) -> DataFrame:
+def filter_stream(tokens: DataFrame, idle: str = "10 minutes") -> DataFrame:
     """(stream_id, seq, piece) of a stream of (stream_id string, seq int, piece string, done boolean) rows, without thinking spans.
 
     One small state per open stream: what is held back and whether a span is open.
-    A row with ``done`` flushes and ends a stream.  Rows of a stream must arrive in
+    A row with ``done`` flushes and ends a stream.  One that gets no row for ``idle`` is
+    taken for abandoned: what is held back leaves under the number after its last row's,
+    and its state goes, so no state outlives its stream; rows that come later begin a
+    stream anew.  Rows of a stream must arrive in
     order of ``seq`` from batch to batch; within a batch they are sorted.
     """
     ship(tokens.sparkSession)
+    wait = _milliseconds(idle)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        filter_ = TagFilter(*state.get) if state.exists else TagFilter()
+        if state.hasTimedOut:
+            held, inside, last = state.get
+            state.remove()
+            rest = TagFilter(held, inside).finish()
+            yield pd.DataFrame([(key[0], last + 1, rest)] if rest else [], columns=["stream_id", "seq", "piece"])
+            return
+        held, inside, last = state.get if state.exists else ("", False, -1)
+        filter_ = TagFilter(held, inside)
         rows, ended = [], False
         for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            text = filter_.feed(row.piece or "")
+            text, last = filter_.feed(row.piece or ""), int(row.seq)
             if row.done:
                 text, ended = text + filter_.finish(), True
             if text:
@@ -64,14 +75,20 @@ def filter_stream(tokens: DataFrame) -> DataFrame:
         if ended:
             state.remove()
         else:
-            state.update((filter_.held, filter_.inside))
+            state.update((filter_.held, filter_.inside, last))
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "piece"])
 
     return tokens.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id string, seq int, piece string", "held string, inside boolean", "append", GroupStateTimeout.NoTimeout
+        step, "stream_id string, seq int, piece string", "held string, inside boolean, last int", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
+def _milliseconds(duration: str) -> int:
+    number, unit = duration.split()
+    return int(float(number) * {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")])
+
+
 def filter_batch(tokens: DataFrame) -> DataFrame:
     """(stream_id, text): the same for streams that are complete; a span that never closes is dropped."""
     lists = tokens.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("x"))
@@ -81,6 +98,11 @@ def filter_batch(tokens: DataFrame) -> DataFrame:
 
 
 def append_log(exchanges: DataFrame, path: str, checkpoint: str):
-    """Starts a stream that appends exchanges (time, user, question, answer, sources) to the audit log by day."""
+    """Starts a stream that appends exchanges (time, user, question, answer, sources) to the audit log by day.
+
+    Each exchange is there once, whatever fails: the checkpoint says which input a batch
+    was, and the log's own list of files, by which Spark reads the folder, takes a
+    batch that is run again after a restart only if it isn't in it.
+    """
     rows = exchanges.withColumn("dt", F.to_date("time"))
     return rows.writeStream.format("json").partitionBy("dt").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
