@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,39 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and all
-    runs in one process (as in tests) a temporary folder takes its place; on a
-    cluster an unset one is an error, since executors could not see such a folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        configured = tempfile.mkdtemp(prefix="clausewise-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the session may be gone already; the folder is scratch
-        pass
+from clausewise.session import delete, scratch_dir
 
 
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        atexit.register(_delete, spark, self.root)
+        self.spark, self.root, self.n = spark, scratch_dir(spark, name), 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read back with the same schema."""
@@ -58,7 +30,7 @@ class Scratch:
         return back
 
     def drop(self, df: DataFrame) -> None:
-        _delete(self.spark, df._scratch_path)
+        delete(self.spark, df._scratch_path)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -89,7 +89,7 @@ def covariance(rows: DataFrame, column: str, dims: int, n: int, centred: Callabl
     blocks = map_batches(rows.select(column), cut, "row_block long, tile int, data binary")
     left = blocks.select("row_block", F.col("tile").alias("i"), F.col("data").alias("a"))
     right = blocks.select("row_block", F.col("tile").alias("j"), F.col("data").alias("b"))
-    pairs = left.hint("shuffle_hash").join(right, "row_block").where("i <= j").select("i", "j", "a", "b")
+    pairs = left.join(right, "row_block").where("i <= j").select("i", "j", "a", "b")
     make = batches({"i": pa.int32(), "j": pa.int32(), "sums": pa.list_(pa.float64())})
 
     def multiply(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
