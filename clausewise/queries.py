@@ -19,7 +19,7 @@ from clausewise.functions.embed import SignedProjection, embed
 from clausewise.operators import catalog, chunk, cite, evaluate, index, parse, postings, rank
 from clausewise.operators import vectors as vector_index
 from clausewise.plans import ask
-from clausewise.sources import sinks
+from clausewise.sources import readers, sinks
 from clausewise.session import scratch_dir
 from clausewise.streaming import tags
 
@@ -823,6 +823,22 @@ def json_props(spark, d):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("props").alias("kinds"), F.sum(keys).alias("n_keys"))
 
 
+@query("""WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE coalesce(text, '') <> '')
+SELECT 'objects' AS format, conv_id, turn, md5(text) AS h FROM c WHERE turn <= conv_id % 5
+UNION ALL SELECT 'events', conv_id, turn, md5(text) FROM c WHERE turn <= conv_id % 5 AND (conv_id + turn) % 3 <> 1""")
+def token_streams(spark, d):
+    """Conversations as two kinds of token streams, with blank and foreign lines and a stop mark in the middle, read back."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").cast("long").alias("at"), "conv_id", "text")
+    last = F.col("conv_id") % 5
+    said = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"), (F.col("at") == last).alias("done")))
+    objects = rows.select("stream_id", F.explode(F.array(F.struct((F.col("at") * 2).alias("seq"), said.alias("line")), F.struct((F.col("at") * 2 + 1).alias("seq"), F.lit(" ").alias("line")))).alias("x"))
+    delta = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    line = F.when(F.col("at") == last + 1, "data: [DONE]").when((F.col("conv_id") + F.col("at")) % 3 == 1, F.concat(F.lit(": "), delta)).otherwise(F.concat(F.lit("data: "), delta))
+    events = rows.select("stream_id", F.col("at").alias("seq"), line.alias("line"))
+    shown = lambda df, kind, turn: df.select(F.lit(kind).alias("format"), F.col("stream_id").cast("long").alias("conv_id"), turn.cast("long").alias("turn"), F.md5("piece").alias("h"))
+    return shown(readers.ndjson_tokens(objects.select("stream_id", "x.*")), "objects", F.expr("seq div 2")).unionByName(shown(readers.sse_tokens(events), "events", F.col("seq")))
+
+
 @query("""SELECT conv_id, turn, CAST(to_timestamp(conv_id * 86400 + turn) AS DATE) AS dt FROM conversations WHERE role = 'user'""")
 def chat_log_days(spark, d):
     log = user_turns(spark, d).withColumn("time", F.timestamp_seconds(F.col("conv_id") * 86400 + F.col("turn")))

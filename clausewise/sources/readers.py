@@ -109,6 +109,12 @@ def cases(spark: SparkSession, path: str, only: Iterable[str] | None = None) ->
     return rows if only is None else rows.where(F.col("id").isin(*only))
 
 
+def token_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(stream_id, seq, line) of recorded streams, a text file each; a stream is named as its file."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stream_id"), "value")
+    return whole.select("stream_id", F.posexplode(F.split("value", r"\r?\n", -1)).alias("seq", "line"))
+
+
 def ndjson_tokens(lines: DataFrame) -> DataFrame:
     """(stream_id, seq, piece) of newline-delimited JSON; lines from the first ``done`` on don't count."""
     parsed = lines.where("trim(line) <> ''").select("stream_id", "seq", F.from_json("line", "message struct<content:string>, done boolean").alias("j"))

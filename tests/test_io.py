@@ -97,3 +97,11 @@ def test_sinks(spark, tmp_path):
     assert json.loads(sinks.eval_report(summary).first().value)["by_regulation"]["R"]["hits"] == 1
     answers = spark.createDataFrame([(1, "a [2]", [2], [("c", "t", 0.5)])], "query_id int, answer string, indices array<int>, sources array<struct<citation:string,text:string,score:double>>")
     assert json.loads(sinks.answer_payload(answers).first().json)["sources"][0]["index"] == 2
+
+
+def test_recorded_token_streams(spark, tmp_path):
+    (tmp_path / "a.log").write_text('{"message": {"content": "x"}}\r\n\n{"message": {"content": "y"}, "done": true}\n{"message": {"content": "z"}}\n')
+    (tmp_path / "b.log").write_text('data: {"choices": [{"delta": {"content": "p"}}]}\n: note\ndata: {"choices": [{"delta": {}}]}\ndata: [DONE]\ndata: {"choices": [{"delta": {"content": "q"}}]}\n')
+    lines = readers.token_lines(spark, str(tmp_path))
+    assert sorted(map(tuple, readers.ndjson_tokens(lines.where("stream_id = 'a'")).collect())) == [("a", 0, "x"), ("a", 2, "y")]
+    assert sorted(map(tuple, readers.sse_tokens(lines.where("stream_id = 'b'")).collect())) == [("b", 0, "p")]
