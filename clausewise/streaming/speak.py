@@ -31,7 +31,8 @@ def speak(prompts: DataFrame, llm: LLM, system: str, *, seconds: float = 1.0, pi
     Each micro-batch continues every open answer for ``seconds`` or ``pieces`` pieces and
     passes on what came, so the first pieces are out long before the last are
     made.  The state of a question is its prompt and the number of pieces given; it drives the
-    next micro-batch by a timeout and goes with the last piece, which has ``done``.  The back end's answer stays open
+    next micro-batch by a timeout and goes with the last piece, which has ``done``; so
+    the query is a live one, which runs until it is stopped.  The back end's answer stays open
     in the worker between batches.  A worker that doesn't have it (after a lost executor or a
     restart) asks again and leaves out as many pieces as were given, so back ends have to
     answer alike each time, as those of ``plans.llm`` do at temperature zero.  A back end that fails

@@ -43,18 +43,21 @@ class TagFilter:
         return rest
 
 
-def filter_stream(tokens: DataFrame, idle: str = "10 minutes") -> DataFrame:
+def filter_stream(tokens: DataFrame, idle: str | None = None) -> DataFrame:
     """(stream_id, seq, piece) of a stream of (stream_id string, seq int, piece string, done boolean) rows, without thinking spans.
 
     One small state per open stream: what is held back and whether a span is open.
-    A row with ``done`` flushes and ends a stream.  One that gets no row for ``idle`` is
-    taken for abandoned: what is held back leaves under the number after its last row's,
+    A row with ``done`` flushes and ends a stream.  One that gets no row for ``idle`` (as
+    "10 minutes") is taken for abandoned: what is held back leaves under the number after its last row's,
     and its state goes, so no state outlives its stream; rows that come later begin a
-    stream anew.  Rows of a stream must arrive in
+    stream anew.  Waiting needs batches without rows, so a live query takes ``idle`` and a
+    trigger interval; one that ends when its input does (``availableNow``) takes none, as it
+    would never end.  Rows of a stream must arrive in
     order of ``seq`` from batch to batch; within a batch they are sorted.
     """
     ship(tokens.sparkSession)
-    wait = _milliseconds(idle)
+    wait = _milliseconds(idle) if idle else 0
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -76,11 +79,12 @@ def filter_stream(tokens: DataFrame, idle: str = "10 minutes") -> DataFrame:
             state.remove()
         else:
             state.update((filter_.held, filter_.inside, last))
-            state.setTimeoutDuration(wait)
+            if wait:
+                state.setTimeoutDuration(wait)
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "piece"])
 
     return tokens.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id string, seq int, piece string", "held string, inside boolean, last int", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "stream_id string, seq int, piece string", "held string, inside boolean, last int", "append", timeout
     )
 
 
