@@ -1,4 +1,4 @@
-"""The chunk index: upserts and deletes as whole-table rewrites, one plan each."""
+"""The chunk index: upserts and deletes of a table, one plan each; ``operators.store`` keeps one in buckets and rewrites few."""
 
 from __future__ import annotations
 
@@ -9,14 +9,25 @@ from pyspark.sql import Window as W
 from clausewise.functions.text import is_statute
 
 
-def upsert(index: DataFrame, incoming: DataFrame, seq: str = "pos") -> DataFrame:
-    """``index`` with ``incoming`` rows: the last row of an id wins, an old id keeps its place, new ones come after all."""
-    last = incoming.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(F.desc(seq)))).where("_n = 1").drop("_n")
-    first = incoming.groupBy("id").agg(F.min(seq).alias("_first"))
-    offset = index.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("_offset"))
-    placed = last.join(first, "id").join(F.broadcast(offset)).join(index.select("id", F.col("pos").alias("_old")), "id", "left")
-    fresh = placed.withColumn("pos", F.coalesce("_old", F.col("_offset") + F.col("_first"))).select(*index.columns)
-    return index.join(last.select("id"), "id", "left_anti").select(*index.columns).unionByName(fresh)
+def upsert(index: DataFrame, incoming: DataFrame, seq: str = "pos", start: int | None = None) -> DataFrame:
+    """``index`` with ``incoming`` rows: the last row of an id wins, an old id keeps its place, new ones come after all.
+
+    A null id is an id like any other. New places count from ``start``, or else from the greatest place of ``index`` on.
+    """
+    same = W.partitionBy("id")
+    numbered = incoming.withColumn("_n", F.row_number().over(same.orderBy(F.desc(seq)))).withColumn("_first", F.min(seq).over(same))
+    last = numbered.where("_n = 1").drop("_n")
+    old = index.select(F.col("id").alias("_id"), F.col("pos").alias("_old"), F.lit(True).alias("_known"))
+    placed = last.join(old, F.col("id").eqNullSafe(F.col("_id")), "left")
+    if start is None:
+        placed = placed.join(F.broadcast(index.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("_offset"))))
+    else:
+        placed = placed.withColumn("_offset", F.lit(start).cast("long"))
+    place = F.when(F.col("_known"), F.col("_old")).otherwise(F.col("_offset") + F.col("_first"))
+    fresh = placed.withColumn("pos", place).select(*index.columns)
+    gone = incoming.select(F.col("id").alias("_id")).distinct()
+    kept = index.join(gone, F.col("id").eqNullSafe(F.col("_id")), "left_anti")
+    return kept.select(*index.columns).unionByName(fresh)
 
 
 def delete_statute(index: DataFrame, regulation: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from clausewise.functions import routing, text
 from clausewise.functions.embed import SignedProjection, embed
-from clausewise.operators import catalog, chunk, cite, evaluate, index, parse, postings, rank
+from clausewise.operators import catalog, chunk, cite, evaluate, index, parse, postings, rank, store
 from clausewise.operators import vectors as vector_index
 from clausewise.plans import ask
 from clausewise.sources import readers, sinks
@@ -689,6 +689,20 @@ def upsert_merge(spark, d):
     return index.upsert(old, changed.unionByName(new)).select("id", "pos", F.md5("text").alias("h"))
 
 
+@query(f"""WITH {CORPUS}, o AS (SELECT id, pos, regulation, doc_type, md5(text) AS h FROM corpus WHERE pos % 10 <> 9),
+i AS (SELECT id, pos AS seq, regulation, doc_type, md5(text || '!') AS h FROM corpus WHERE pos % 10 IN (4, 9)),
+m AS (SELECT id, coalesce(i.regulation, o.regulation) AS regulation, coalesce(i.doc_type, o.doc_type) AS doc_type, coalesce(i.h, o.h) AS h,
+ coalesce(o.pos, (SELECT max(pos) + 1 FROM o) + seq) AS pos FROM o FULL JOIN i USING (id))
+SELECT id, pos, h FROM m WHERE NOT (regulation = 'src1' AND doc_type = 'statute')""")
+def store_changes(spark, d):
+    """An index in buckets of ids: a tenth of the rows changes, a tenth comes in, and a regulation's statute goes."""
+    rows, path = corpus(spark, d), scratch_dir(spark, "store")
+    store.create(rows.where("pos % 10 <> 9"), path, 32)
+    store.merge(path, rows.where("pos % 10 IN (4, 9)").withColumn("text", F.concat("text", F.lit("!"))))
+    store.remove(spark, path, lambda df: index.delete_statute(df, "src1"))
+    return store.open_store(spark, path).select("id", "pos", F.md5("text").alias("h"))
+
+
 @query(f"WITH {CORPUS} SELECT id, doc_type FROM corpus WHERE NOT (regulation = 'src1' AND doc_type = 'statute') AND NOT (regulation = 'src3' AND document_label = 'Decision 2003/4')")
 def delete_scoped(spark, d):
     left = index.delete_document(index.delete_statute(corpus(spark, d), "src1"), "src3", "Decision 2003/4")
