@@ -3,6 +3,7 @@
 Where a heading's title stands, which lines above it belong to it and when a list
 starts over depend on what came before in the same text, so a document is parsed
 as a whole by an Arrow-batched function; documents are independent of each other.
+Pages in HTML go through ``operators.html``, which needs no Python.
 """
 
 from __future__ import annotations
@@ -11,16 +12,16 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewise import schemas
+from clausewise.operators import html
 from clausewise.session import ship
 
-# Headings, markers and element classes of the formats.
+# Headings and markers of the formats.
 _GECICI = r"(?:(?P<gecici>GE[ÇC][İI]C[İI]|Ge[çc]ici)\s+)?"
 STANDALONE = re.compile(rf"^{_GECICI}(?:Article|Madde|MADDE)\s+(?P<num>\d+\w*)\s*[-–—]?\s*$", re.MULTILINE)
 INLINE = re.compile(rf"^{_GECICI}(?:Madde|MADDE)\s+(?P<num>\d+\w*)\s*[-–—]", re.MULTILINE)
@@ -30,8 +31,6 @@ CHAPTER_EU = re.compile(r"(?:CHAPTER|TITLE)[IVXLCDM]+", re.IGNORECASE)
 SECTION_EU = re.compile(r"Section\d+", re.IGNORECASE)
 ITEM_NUMBER = re.compile(r"^\s*(\d{1,2})[)\.\-–—]\s+", re.MULTILINE)
 ITEM_LETTER = re.compile(r"^\s*([a-zçğıöşü])[)\.]\s+", re.MULTILINE | re.IGNORECASE)
-HEADING_CLASSES = {"ti-art", "oj-ti-art"}
-CHAPTER_CLASSES = {"ti-section-1", "oj-ti-section-1", "ti-section-2", "oj-ti-section-2"}
 DASH = " — "
 
 
@@ -159,75 +158,15 @@ def decision(text: str) -> list[Article]:
     return out
 
 
-class _Blocks(HTMLParser):
-    """Paragraphs and tables in the order in which they open: [name, classes, pieces of text]."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, set[str], list[str]]] = []
-        self.open: list[tuple[str, set[str], list[str]]] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag not in ("p", "table"):
-            return
-        if self.open and self.open[-1][0] == "p":
-            self.open.pop()  # a paragraph ends where the next block starts
-        block = (tag, set((dict(attrs).get("class") or "").split()), [])
-        self.blocks.append(block)
-        self.open.append(block)
-
-    def handle_endtag(self, tag):
-        if any(b[0] == tag for b in self.open) and tag in ("p", "table"):
-            while self.open.pop()[0] != tag:
-                pass
-
-    def handle_data(self, data):
-        if data.strip():
-            for _, _, pieces in self.open:
-                pieces.append(data.strip())
-
-
-def eurlex(html: str) -> list[Article]:
-    """Articles of Official Journal HTML: headings and chapters are marked by classes."""
-    parser = _Blocks()
-    parser.feed(html)
-    parser.close()
-    out: list[Article] = []
-    chapter, pending, body = "", [], []
-    now: Article | None = None
-
-    def finish() -> None:
-        if now is not None and (text := tidy("\n".join(body))):
-            now.text = text
-            out.append(now)
-
-    for name, classes, pieces in parser.blocks:
-        text = tidy(" ".join(pieces))
-        if classes & CHAPTER_CLASSES:
-            pending += [text] * bool(text)
-        elif classes & HEADING_CLASSES:
-            finish()
-            chapter, pending, body = DASH.join(pending) or chapter, [], []
-            m = re.match(r"Article\s+(\d+\w*)", text, re.IGNORECASE)
-            now = Article(m[1] if m else text, "", chapter, "")
-        elif now is not None and text:
-            if not now.title and not body and len(text) < 200:
-                now.title = text
-            elif name == "p":
-                body.append(text)
-    finish()
-    return out
-
-
-#: Parsers by name.
-PARSERS = {"articles": statute, "decision": decision, "html": eurlex}
+#: Parsers of texts by name; the one named ``html`` is ``html.articles``.
+PARSERS = {"articles": statute, "decision": decision}
 
 
 def parse_articles(raw: DataFrame, documents: DataFrame) -> DataFrame:
     """Articles of ``raw`` (doc_id, ext, text) with the metadata of ``documents`` (schemas.DOCUMENTS), by each one's parser.
 
     A document without a row in ``documents`` is a statute of its own name: HTML or
-    text, in English, or Turkish if it came as PDF.
+    text, in English, or Turkish if it came as PDF. Repeated rows are parsed each on its own.
     """
     ship(raw.sparkSession)
     meta = documents.select(*[f.split()[0] for f in schemas.DOCUMENTS.split(", ")]).drop("full_name")
@@ -256,4 +195,8 @@ def parse_articles(raw: DataFrame, documents: DataFrame) -> DataFrame:
                     made.append(kept | {"seq": i, "article_number": a.number, "article_title": a.title, "chapter": a.chapter, "text": a.text})
             yield pd.DataFrame(made, columns=names)
 
-    return rows.mapInPandas(run, schemas.ARTICLES)
+    texts = rows.where("parser <> 'html'").mapInPandas(run, schemas.ARTICLES)
+    about = [c for c in rows.columns if c not in ("text", "parser")]
+    pages = rows.where("parser = 'html'").select(F.struct(*about, F.monotonically_increasing_id().alias("_n")).alias("_page"), F.col("text").alias("_html"))
+    found = html.articles(pages, "_page", "_html").select("_page.*", "seq", "article_number", "article_title", "chapter", "text")
+    return texts.unionByName(found.select(*names))

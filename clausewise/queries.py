@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from clausewise.functions import routing, text
 from clausewise.functions.embed import SignedProjection, embed
-from clausewise.operators import catalog, chunk, cite, evaluate, index, parse, postings, rank, store
+from clausewise.operators import catalog, chunk, cite, evaluate, html, index, parse, postings, rank, store
 from clausewise.operators import vectors as vector_index
 from clausewise.plans import ask
 from clausewise.sources import readers, sinks
@@ -428,21 +428,37 @@ def parse_decision_items(spark, d):
     return parse.parse_articles(docs, known).select("doc_id", F.col("article_number").alias("item"), F.md5("text").alias("h"))
 
 
-@query("""SELECT page_id, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs FROM pages""")
-def parse_html_blocks(spark, d):
-    @F.pandas_udf("long")
-    def count(pages: pd.Series) -> pd.Series:
-        def one(html: str) -> int:
-            p = parse._Blocks()
-            p.feed(html)
-            return sum(b[0] == "p" for b in p.blocks)
-
-        return pages.map(one)
+# Texts of a page's paragraphs in SQL: pages have no tables and no entities beyond these.
+PARAGRAPHS = """cut AS (SELECT page_id, string_split(html, '<p>') AS parts FROM pages),
+raw AS (SELECT page_id, generate_subscripts(parts, 1) - 1 AS k, unnest(parts) AS part FROM cut),
+inner_ AS (SELECT page_id, k, regexp_replace(string_split(part, '</p>')[1], '<!--.*?-->', '<!---->', 'gs') AS part FROM raw WHERE k > 0),
+spaced AS (SELECT page_id, k, list_transform(regexp_split_to_array(part, '<[^>]*>'), lambda x: trim(replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS pieces FROM inner_),
+para AS (SELECT page_id, k, regexp_replace(regexp_replace(array_to_string(list_filter(pieces, lambda x: x <> ''), ' '), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM spaced)"""
 
-    from clausewise.session import ship
 
-    ship(spark)
-    return table(spark, d, "pages").select("page_id", count("html").alias("n_paragraphs"))
+@query(f"WITH {PARAGRAPHS} SELECT page_id, k - 1 AS n, md5(t) AS h FROM para")
+def parse_html_blocks(spark, d):
+    """The paragraphs of all pages with their texts."""
+    found = html.blocks(table(spark, d, "pages"), "page_id", "html").where("name = 'p'")
+    place = F.row_number().over(W.partitionBy("page_id").orderBy("block")).cast("long") - 1
+    return found.select("page_id", place.alias("n"), F.md5("text").alias("h"))
+
+
+@query(f"""WITH {PARAGRAPHS}, a AS (SELECT page_id, (k - 1) // 3 AS a, (k - 1) % 3 AS i, t FROM para),
+l AS (SELECT page_id, a, min(i) AS lead FROM a WHERE t <> '' GROUP BY 1, 2),
+w AS (SELECT page_id, a, i, t, lead, i = lead AND length(t) < 200 AS is_title FROM a JOIN l USING (page_id, a) WHERE t <> ''),
+g AS (SELECT page_id, a, coalesce(max(t) FILTER (is_title), '') AS title, string_agg(t, chr(10) ORDER BY i) FILTER (NOT is_title) AS body FROM w GROUP BY 1, 2),
+k AS (SELECT * FROM g WHERE body IS NOT NULL)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY a) - 1 AS seq, (a + 1) || 'x' AS article_number, md5(title) AS title,
+ 'CHAPTER ' || (a // 4 * 4 + 1) || ' — of page ' || page_id AS chapter, md5(body) AS h FROM k""")
+def parse_html_articles(spark, d):
+    """All pages as articles: each third paragraph gets a heading before it, each twelfth a chapter of two lines."""
+    k = lambda i: F.when(i % 3 == 1, F.concat(F.when(i % 12 == 1, F.concat(F.lit('<p class="x oj-ti-section-1">CHAPTER '), i_th(i), F.lit("</p><table class='ti-section-2'><tr><td>of page "), F.col("page_id").cast("string"), F.lit("</table>"))).otherwise(""), F.lit("<p id=a class=oj-ti-art>Article&#32;"), i_th(i), F.lit("x"))).otherwise("")
+    i_th = lambda i: (F.floor((i - 1) / 3) + 1).cast("string")
+    parts = F.split("html", "<p>", -1)
+    marked = F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.concat(k(i), F.lit("<p>"), x))), "")
+    found = html.articles(table(spark, d, "pages").select("page_id", marked.alias("html")), "page_id", "html")
+    return found.select("page_id", F.col("seq").cast("long").alias("seq"), "article_number", F.md5("article_title").alias("title"), "chapter", F.md5("text").alias("h"))
 
 
 @query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
