@@ -126,7 +126,6 @@ def fit(
     most: int = 4000,
     least: int = 8,
     support: float = 0.04,
-    noise: float = 0.06,
     odds: float = 5.0,
 ) -> Lexicon:
     """A lexicon from labelled rows outside the held-out fold.
@@ -135,12 +134,13 @@ def fit(
     hashes, so the sample doesn't depend on order), of several rows of one id the
     smallest text; an id with both labels counts once for each.  The lexicon grows by
     covering: of the toxic rows that no entry matches yet, words and starts of
-    four or five letters that ``support`` of them hold (``least`` rows at least) get
-    these odds as weights and become entries, until there are none or fewer than
-    ``noise`` of all toxic rows are left, which count as wrongly labelled.  So words
-    that copies of one toxic text share are not learned, and the number of entries
-    is bounded by the sample's words over ``support``.  With no labels the
-    hand-written lexicon stays.
+    four or five letters that ``support`` of them hold get these odds as weights and
+    become entries.  Where none has that support it is halved, down to ``least`` rows,
+    whatever share of all toxic rows these are; learning ends when no entry reaches
+    ``least`` rows and the odds.  Equal texts count as one row, and common entries
+    come first, so words that copies of one toxic text share are learned only where
+    nothing else explains them.  The number of entries is bounded by the words of the
+    sample.  With no labels the hand-written lexicon stays.
     """
     spark = docs.sparkSession
     known = labels.where(~held_out(id) & F.col(id).isNotNull()).selectExpr(f"`{id}` AS doc_id", f"CAST(`{label}` AS int) AS y").where("y IN (0, 1)")
@@ -153,7 +153,7 @@ def fit(
     chosen = F.broadcast(of(1).unionByName(of(0)))
     scratch = Scratch(spark, "toxic")
     sample = docs.selectExpr(f"`{id}` AS doc_id", f"`{text}` AS text").join(chosen, "doc_id")
-    sample = scratch.keep(sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    sample = scratch.keep(sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")).dropDuplicates(["text", "y"]))
     make = batches({"feature": pa.string(), "y": pa.int32(), "n": pa.int64()})
     lexicon, left = Lexicon(), None
     while True:
@@ -178,8 +178,13 @@ def fit(
             map_batches(sample, count, "feature string, y int, n long").groupBy("feature").agg(held(1).alias("p"), held(0).alias("q")).where(F.col("p") >= least)
         )
         total = counts.where("feature = '#'").first()
-        if not total or total["p"] < noise * min(most, sizes[1]) or total["p"] == left:
+        if not total:
             break
+        if total["p"] == left:
+            # nothing was covered by the last entries: rarer ones come next
+            if support * left <= least:
+                break
+            support /= 2
         left = total["p"]
         weight = F.log((F.col("p") + 0.5) / (total["p"] + 1)) - F.log((F.col("q") + 0.5) / (total["q"] + 1))
         strong = counts.where((F.col("feature") != "#") & (F.col("p") >= support * total["p"])).withColumn("w", weight).where(F.col("w") > odds)
@@ -194,8 +199,6 @@ def fit(
             if kind == "=" and word not in starts:
                 whole.add(word)
         lexicon.whole |= frozenset(whole)
-        if not rows:
-            break
     ys, xs = _strengths(sample, lexicon)
     lexicon.bias, lexicon.slope = _logistic(xs, ys)
     return lexicon

@@ -86,6 +86,34 @@ def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
 
+def test_a_rare_language_of_toxic_rows_is_learned(spark):
+    common, rare, plain = "zurgle plomb", "qvexit narbol", "river stone meadow cloud lamp table window"
+    rows, labels = [], []
+    for i in range(1200):
+        words = [plain.split()[(i * k + k) % 7] + str(i % 40) for k in range(1, 9)]
+        toxic = i % 3 == 0
+        if toxic:
+            words.insert(i % 5, rare.split()[i // 3 % 2] if i % 99 == 0 else common.split()[i // 3 % 2])
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 1, int(toxic)))
+    # copies of one wrongly labelled text count once
+    rows += [(i, "a calm letter about gardening", "s") for i in range(1200, 1260)]
+    labels += [(i, 1, 1) for i in range(1200, 1260)]
+    d, y = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lex = lexicon.fit(d, y, least=3)
+    learned = set(lex.weights) - set(lexicon.SEED)
+    assert {"zurg", "plom", "qvex", "narb"} <= {w[:4] for w in learned} and not {"gard", "lett"} & {w[:4] for w in learned}
+    got = {r.doc_id: r.score for r in lexicon.score(d, lex).collect()}
+    assert all((got[i] >= 0.5) == (i % 3 == 0) for i in range(1200))
+
+
+def test_toxicity_ignores_clashing_columns_and_empty_tables(spark):
+    d, y = spark.createDataFrame([(1, "you idiot", 5, 7.0, 9), (2, "calm", None, None, None)], "doc_id long, text string, strength int, score double, hits int"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    lex = lexicon.fit(d, y)
+    assert sorted((r.doc_id, r.hits) for r in lexicon.score(d, lex).collect()) == [(1, 1), (2, 0)]
+    assert lexicon.fit(d.limit(0), y).weights == lexicon.Lexicon().weights
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     d, y = labelled(spark)
     lex = lexicon.fit(d, y, least=5)
