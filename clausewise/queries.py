@@ -487,8 +487,28 @@ def chunked(spark: SparkSession, d: str, numbered: bool) -> DataFrame:
     return chunk.chunk_articles(art)
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT doc_id, source, text, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS l FROM documents WHERE text <> ''),
+n AS (SELECT *, len(list_filter(l, lambda x: regexp_matches(x, '^[0-9]{1,2}[.\xa0]'))) > 0 AS numbered FROM t),
+ln AS (SELECT doc_id, numbered, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM n WHERE length(text) > 1500),
+g AS (SELECT *, sum(CASE WHEN i = 1 OR NOT numbered OR regexp_matches(line, '^[0-9]{1,2}[.\xa0]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM ln),
+units AS MATERIALIZED (SELECT doc_id, CAST(u AS BIGINT) AS u, string_agg(line, chr(10) ORDER BY i) AS unit FROM g GROUP BY 1, 2),
+w AS (SELECT doc_id, numbered, 0 AS step, 1::BIGINT AS u, NULL::VARCHAR AS cur, '' AS held, NULL::VARCHAR AS piece, false AS done FROM n WHERE length(text) > 1500
+ UNION ALL
+ SELECT s.doc_id, s.numbered, s.step + 1,
+  CASE WHEN s.txt IS NULL OR s.flush OR s.long THEN s.u ELSE s.u + 1 END,
+  CASE WHEN s.txt IS NULL THEN NULL WHEN s.flush THEN s.txt WHEN s.long THEN trim(s.txt[greatest(s.stop - 150, 0) + 1:], s.ws) ELSE NULL END,
+  CASE WHEN s.txt IS NULL OR s.flush OR s.long OR s.numbered THEN '' WHEN s.full_ THEN trim(right(s.held, 150) || chr(10) || s.txt, s.ws) ELSE trim(s.held || chr(10) || s.txt, s.ws) END,
+  CASE WHEN s.txt IS NULL OR s.flush THEN s.held WHEN s.long THEN trim(s.txt[:s.stop], s.ws) WHEN s.numbered THEN s.txt WHEN s.full_ THEN s.held ELSE NULL END,
+  s.txt IS NULL
+ FROM (SELECT *, NOT numbered AND long AND held <> '' AS flush, length(held) + length(txt) + 1 > 1500 AS full_, CASE WHEN p > 750 THEN p + 1 ELSE 1500 END AS stop, ' ' || chr(9) || chr(10) || chr(13) AS ws
+  FROM (SELECT *, length(txt) > 1500 AS long, CASE WHEN contains(txt[:1500], '. ') THEN 1500 - instr(reverse(txt[:1500]), ' .') - 1 ELSE -1 END AS p
+   FROM (SELECT w.*, coalesce(w.cur, units.unit) AS txt FROM w LEFT JOIN units ON units.doc_id = w.doc_id AND units.u = w.u WHERE NOT w.done))) s),
+pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS k, piece FROM w WHERE piece <> ''
+ UNION ALL SELECT doc_id, 0, text FROM n WHERE length(text) <= 1500)
+SELECT n.source || '-art' || doc_id || '-' || k AS id, n.source AS regulation, CAST(doc_id AS VARCHAR) AS article_number, CAST(k AS INTEGER) AS chunk_index,
+ CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, md5(n.source || ', Article ' || doc_id || ':' || chr(10) || piece) AS h FROM pieces JOIN n USING (doc_id)""")
 def chunk_packed(spark, d):
+    """Chunks of all documents: short ones whole, else numbered paragraphs one by one, else lines packed with overlap."""
     return chunked(spark, d, False).select("id", "regulation", "article_number", "chunk_index", "total_chunks", F.md5("text").alias("h"))
 
 
