@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,47 +42,56 @@ FREQUENCY = r"(?iU)\b(how often|ne s[ıi]kl[ıi]k\w*|ka[çc] kez)\b"
 SPELLED_OUT = r"(?iU)threat[- ]led penetration test(?:ing|s)?"
 ASKS = ("how often", "how long", "how many", "how much", r"ne s[ıi]kl[ıi]k\w*", r"ne kadar s[üu]r\w*", r"ka[çc] kez", r"ka[çc] g[üu]n\w*")
 LONG, LONG_FOR_SEVERAL = 400, 180
+ASCII_EDGE = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+#: How cues are read: as they stand, with the letters of all scripts in words, unless a caller says otherwise.
+Words = Callable[[str], str]
+
+
+def ascii_words(pattern: str) -> str:
+    """A cue as engines read it in which only ASCII letters make words: there ``dora`` stands in ``dorañ``, in ``kuruluş`` no word ends."""
+    return pattern.replace("(?iU)", "(?iu)").replace(r"\b", ASCII_EDGE).replace(r"\w", "[0-9A-Za-z_]").replace(r"\s", r"[ \t\n\f\r]")
 
 
-def acronyms(question: Column) -> Column:
+def acronyms(question: Column, words: Words = str) -> Column:
     """Regulations that a question names, each once, in capitals."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(question, F.lit(ACRONYM), F.lit(0)), F.upper)))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(question, F.lit(words(ACRONYM)), F.lit(0)), F.upper)))
 
 
-def single_regulation(question: Column) -> Column:
+def single_regulation(question: Column, words: Words = str) -> Column:
     """The one regulation that a question names, or null."""
-    named = acronyms(question)
+    named = acronyms(question, words)
     return F.when(F.size(named) == 1, F.get(named, F.lit(0)))
 
 
-def looks_turkish(text: Column) -> Column:
-    return text.rlike(TURKISH_LETTER) | text.rlike(TURKISH_ASCII)
+def looks_turkish(text: Column, words: Words = str) -> Column:
+    return text.rlike(TURKISH_LETTER) | text.rlike(words(TURKISH_ASCII))
 
 
 def _if(condition: Column, regulation: str) -> Column:
     return F.when(condition, F.array(F.lit(regulation))).otherwise(F.array().cast("array<string>"))
 
 
-def required_regulations(question: Column) -> Column:
+def required_regulations(question: Column, words: Words = str) -> Column:
     """Named regulations and those that cues stand for; Turkish alone means the Turkish one."""
-    cued = F.array_union(F.array_union(acronyms(question), _if(question.rlike(KVKK_CUE), "KVKK")), _if(question.rlike(DORA_CUE), "DORA"))
-    fallback = (F.size(cued) == 0) & (question.rlike(TURKISH_ONLY) | question.rlike(TURKISH_ASCII))
+    cued = F.array_union(F.array_union(acronyms(question, words), _if(question.rlike(words(KVKK_CUE)), "KVKK")), _if(question.rlike(words(DORA_CUE)), "DORA"))
+    fallback = (F.size(cued) == 0) & (question.rlike(TURKISH_ONLY) | question.rlike(words(TURKISH_ASCII)))
     return F.array_sort(F.array_union(cued, _if(fallback, "KVKK")))
 
 
-def required_regulations_extended(question: Column, triage: Column | None = None) -> Column:
+def required_regulations_extended(question: Column, triage: Column | None = None, words: Words = str) -> Column:
     """The same with a classifier's verdict where no cue fires, and explicit mentions of the EU."""
-    found = required_regulations(question)
+    found = required_regulations(question, words)
     if triage is not None:
         ask = (F.size(found) == 0) & (F.length(question) >= LONG_FOR_SEVERAL)
         found = F.array_union(found, F.when(ask, F.coalesce(triage, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
-    found = F.array_union(found, _if(question.rlike(EU_CUE), "GDPR"))
-    return F.array_sort(F.array_union(found, _if(question.rlike(DORA_CUE), "DORA")))
+    found = F.array_union(found, _if(question.rlike(words(EU_CUE)), "GDPR"))
+    return F.array_sort(F.array_union(found, _if(question.rlike(words(DORA_CUE)), "DORA")))
 
 
-def needs_decomposition(question: Column) -> Column:
+def needs_decomposition(question: Column, words: Words = str) -> Column:
     """Long questions, and middling ones that several regulations are required for."""
-    return (F.length(question) > LONG) | ((F.length(question) >= LONG_FOR_SEVERAL) & (F.size(required_regulations(question)) >= 2))
+    return (F.length(question) > LONG) | ((F.length(question) >= LONG_FOR_SEVERAL) & (F.size(required_regulations(question, words)) >= 2))
 
 
 def strip_regulation_names(query: Column) -> Column:
@@ -101,11 +112,11 @@ def native_query(question: Column, regulation: Column) -> Column:
     return F.when((regulation == "KVKK") & question.rlike(TURKISH_ONLY), question)
 
 
-def retrieval_degraded(query: Column, regulations: Column) -> Column:
+def retrieval_degraded(query: Column, regulations: Column, words: Words = str) -> Column:
     """A Turkish query against English sources; null regulations mean all of them."""
     english = F.array(*[F.lit(r) for r, lang in LANGUAGES.items() if lang != "en"])
     other = F.coalesce(F.size(F.array_except(regulations, english)) > 0, F.lit(True))
-    return looks_turkish(query) & other
+    return looks_turkish(query, words) & other
 
 
 def language_directive(question: Column) -> Column:
