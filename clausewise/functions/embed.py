@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
@@ -34,7 +36,8 @@ class SignedProjection:
 
     A term's weight is 1 + ln of its count; each term adds its weight to or takes it from every dimension,
     by the bits of a hash of the term.  Cosines of these vectors estimate those of
-    the term weights.  ``load`` gives the bits of terms met before, a cache of bounded size.
+    the term weights.  ``load`` gives the bits of terms met before, a cache of bounded size:
+    each term's row in one table of signs, so that a text is one product.
     """
 
     MOST = 200_000
@@ -42,28 +45,31 @@ class SignedProjection:
     def __init__(self, dims: int = 256, seed: int = 0):
         self.dims, self.seed, self.key = dims, seed, f"signed-{dims}-{seed}"
 
-    def load(self) -> dict[str, np.ndarray]:
-        return {}
+    def load(self) -> tuple[dict[str, int], np.ndarray]:
+        return {}, np.zeros((self.MOST, self.dims), np.int8)
 
     def signs(self, term: str) -> np.ndarray:
-        import hashlib
-
         salt = self.seed.to_bytes(8, "little")
         bits = hashlib.shake_128(salt + term.encode()).digest(-(-self.dims // 8))
         return np.unpackbits(np.frombuffer(bits, np.uint8))[: self.dims].astype(np.int8) * 2 - 1
 
-    def vectors(self, loaded: dict[str, np.ndarray], texts: Sequence[str]) -> np.ndarray:
+    def vectors(self, loaded: tuple[dict[str, int], np.ndarray], texts: Sequence[str]) -> np.ndarray:
+        known, table = loaded
         out = np.zeros((len(texts), self.dims))
         for row, text in zip(out, texts, strict=True):
-            counts: dict[str, int] = {}
-            for term in _WORD.findall(text.lower().replace("̇", "")):
-                counts[term] = counts.get(term, 0) + 1
-            for term, n in counts.items():
-                if term not in loaded:
-                    if len(loaded) >= self.MOST:
-                        loaded.clear()
-                    loaded[term] = self.signs(term)
-                row += (1 + np.log(n)) * loaded[term]
+            counts = Counter(_WORD.findall(text.lower().replace("̇", "")))
+            terms = list(counts)
+            # a text's terms are in the table together, if need be a part at a time
+            for start in range(0, len(terms), self.MOST):
+                part = terms[start : start + self.MOST]
+                if len(known) + len(part) > self.MOST:
+                    known.clear()
+                for term in part:
+                    if term not in known:
+                        table[len(known)] = self.signs(term)
+                        known[term] = len(known)
+                weights = 1 + np.log([counts[t] for t in part])
+                row += weights @ table[[known[t] for t in part]]
         return out
 
 
