@@ -29,10 +29,10 @@ SPAN = 1024
 SLACK = 2.0 * 10**-DIGITS
 
 GROUP = ("regulation", "doc_type")
-BLOCK = "term string, regulation string, doc_type string, slot long, most double, n long, at array<short>, w array<double>, pos array<long>, ids array<string>"
+BLOCK = "term string, regulation string, doc_type string, slot long, most double, n long, at array<short>, tf array<int>, pos array<long>, dl array<int>, ids array<string>"
 ARROW = pa.schema(
     [(c, pa.string()) for c in ("term", *GROUP)]
-    + [("slot", pa.int64()), ("most", pa.float64()), ("n", pa.int64()), ("at", pa.list_(pa.int16())), ("w", pa.list_(pa.float64())), ("pos", pa.list_(pa.int64())), ("ids", pa.list_(pa.string()))]
+    + [("slot", pa.int64()), ("most", pa.float64()), ("n", pa.int64()), ("at", pa.list_(pa.int16())), ("tf", pa.list_(pa.int32())), ("pos", pa.list_(pa.int64())), ("dl", pa.list_(pa.int32())), ("ids", pa.list_(pa.string()))]
 )
 
 
@@ -41,10 +41,11 @@ def save(chunks: DataFrame, path: str) -> None:
 
     A slot is up to ``SPAN`` texts of one group (regulation and type, which searches
     filter by) that a task reads at once.  A block holds the postings of one term in one
-    slot: the texts' numbers there (``at``) and weights, a posting's share of the score
-    without the term's idf (``w``), of which ``most`` is the greatest.  A row without a
-    term lists a slot's texts.  So blocks are made where texts are read, no posting
-    moves, and no task or key holds all of a common word.
+    slot: the texts' numbers there (``at``) and how often they have it (``tf``).  ``most`` is
+    the greatest weight, a posting's share of the score without the term's idf; weights
+    follow from ``tf`` and the texts' lengths and are not stored.  A row without a term
+    lists a slot's texts with their lengths.  So blocks are made where texts are read, no
+    posting moves, and no task or key holds all of a common word.
     """
     spark = chunks.sparkSession
     corpus_stats(document_lengths(chunks)).write.mode("overwrite").parquet(f"{path}/stats")
@@ -84,9 +85,9 @@ def _lengths(lists: pa.Array) -> np.ndarray:
 def _slot(part: pa.RecordBatch, slot: int, average: float | None) -> Iterator[pa.RecordBatch]:
     """The row that lists a slot's texts, and its blocks by term."""
     rows, tokens = part.num_rows, part.column("tokens")
-    listed = {"slot": [slot], "n": [0]} | {c: pa.array([part.column(k).to_pylist()], ARROW.field(c).type) for c, k in (("pos", "pos"), ("ids", "id"))}
-    yield _batch(listed, 1)
     length, coded = _lengths(tokens), tokens.flatten().dictionary_encode()
+    texts = {"pos": part.column("pos").to_pylist(), "dl": length, "ids": part.column("id").to_pylist()}
+    yield _batch({"slot": [slot], "n": [0]} | {c: pa.array([x], ARROW.field(c).type) for c, x in texts.items()}, 1)
     if not len(coded):
         return
     order = pc.sort_indices(coded.dictionary).to_numpy()
@@ -95,7 +96,7 @@ def _slot(part: pa.RecordBatch, slot: int, average: float | None) -> Iterator[pa
     row = np.repeat(np.arange(rows), length)
     key, tf = np.unique(place[coded.indices.to_numpy()] * rows + row, return_counts=True)
     term, at = np.divmod(key, rows)
-    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at] / average))
+    weight = _weight(tf, length[at], average)
     start = np.flatnonzero(np.diff(term, prepend=-1))
     ends = pa.array(np.append(start, len(term)).astype(np.int32))
     group = {c: part.column(c).take(pa.array(np.zeros(len(start), np.int64))) for c in GROUP}
@@ -105,11 +106,16 @@ def _slot(part: pa.RecordBatch, slot: int, average: float | None) -> Iterator[pa
         "most": np.maximum.reduceat(weight, start),
         "n": np.diff(np.append(start, len(term))),
         "at": pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int16))),
-        "w": pa.ListArray.from_arrays(ends, pa.array(weight)),
+        "tf": pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32))),
     }
     yield _batch(found, len(start))
 
 
+def _weight(tf: np.ndarray, dl: np.ndarray, average: float) -> np.ndarray:
+    """Postings' shares of a score without their terms' idf."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+
+
 def _batch(columns: dict, rows: int) -> pa.RecordBatch:
     made = [columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in ARROW]
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, ARROW, strict=True)], schema=ARROW)
@@ -119,6 +125,7 @@ def _batch(columns: dict, rows: int) -> pa.RecordBatch:
 class BlockIndex:
     blocks: DataFrame
     terms: DataFrame
+    stats: DataFrame
 
     def wanted(self, queries: DataFrame, n: int, condition: Column) -> DataFrame:
         """(query_id, term, factor, essential, gate) of the questions' terms.
@@ -184,11 +191,12 @@ class BlockIndex:
         opened = self.blocks.where(condition).join(numbered, "term").where("most >= gate").select("slot").distinct()
         rows = self.blocks.join(numbered, "term", "left").where(F.col("term").isNull() | (F.col("t").isNotNull() & condition))
         # one number per slot
-        rows = rows.join(F.broadcast(opened), "slot", "left_semi").select("slot", "t", "most", "at", "w", "pos", "ids")
-        rows = rows.repartition("slot").sortWithinPartitions("slot", "t")
+        rows = rows.join(F.broadcast(opened), "slot", "left_semi")
         # lists that nearly all rows lack cost as much on the way to Python as those that they have
-        rows = rows.select("slot", "t", "most", F.coalesce("pos", F.col("at").cast("array<long>")).alias("at"), "w", F.to_json("ids").alias("ids"))
-        found = map_batches(rows, _scorer(spark, pairs, len(number), len(who), n), "q int, id string, pos long, score double")
+        texts = F.when(F.col("term").isNull(), F.to_json(F.struct("pos", "dl", "ids"))).alias("texts")
+        rows = rows.select("slot", "t", "most", "at", "tf", texts).repartition("slot").sortWithinPartitions("slot", "t")
+        average = self.stats.first()["avgdl"]
+        found = map_batches(rows, _scorer(spark, pairs, len(number), len(who), n, average), "q int, id string, pos long, score double")
         schema = StructType([StructField("q", IntegerType()), kind])
         return found.join(F.broadcast(spark.createDataFrame([(i, q) for q, i in who.items()], schema)), "q").select("query_id", "id", "pos", "score")
 
@@ -219,7 +227,7 @@ class BlockIndex:
         return kept.select("query_id", "rank", "id", "score", "pos")
 
 
-def _scorer(spark: SparkSession, pairs: list[tuple[int, int, float, float]], terms: int, questions: int, n: int | None):
+def _scorer(spark: SparkSession, pairs: list[tuple[int, int, float, float]], terms: int, questions: int, n: int | None, average: float | None):
     """The function that scores slots in a task; ``pairs`` (term, question, factor, gate) are sorted by term."""
     term, who, factor, gate = (np.array([p[i] for p in pairs], dtype=d) for i, d in enumerate((np.int64, np.int64, np.float64, np.float64)))
     shared = spark.sparkContext.broadcast((np.searchsorted(term, np.arange(terms + 1)), who, factor, gate))
@@ -227,8 +235,9 @@ def _scorer(spark: SparkSession, pairs: list[tuple[int, int, float, float]], ter
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None if n is None else Best(questions, n)
         for rows in _by_slot(stream):
-            pos, ids = rows.column("at").chunk(0)[0].values, pa.array(json.loads(rows.column("ids")[0].as_py()), pa.string())
-            score, hit = _scores(rows.slice(1), len(pos), questions, *shared.value)
+            texts = json.loads(rows.column("texts")[0].as_py())
+            pos, ids = pa.array(texts["pos"], pa.int64()), pa.array(texts["ids"], pa.string())
+            score, hit = _scores(rows.slice(1), np.array(texts["dl"]), average, questions, *shared.value)
             if best is not None:
                 best.add(np.where(hit & (score > 0), score, -np.inf), pos.to_numpy(), ids)
                 continue
@@ -261,12 +270,16 @@ def _by_slot(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _scores(rows: pa.Table, texts: int, questions: int, first: np.ndarray, who: np.ndarray, factor: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores by question and text of a slot, and which of them are in a block that reaches its gate."""
+def _scores(
+    rows: pa.Table, dl: np.ndarray, average: float | None, questions: int, first: np.ndarray, who: np.ndarray, factor: np.ndarray, gate: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Scores by question and text (of length ``dl``) of a slot, and which of them are in a block that reaches its gate."""
+    texts = len(dl)
     score, hit = np.zeros(questions * texts), np.zeros(questions * texts, bool)
     if rows.num_rows:
         t, most = (rows.column(c).chunk(0).to_numpy() for c in ("t", "most"))
-        at, w = (rows.column(c).chunk(0).flatten().to_numpy() for c in ("at", "w"))
+        at, tf = (rows.column(c).chunk(0).flatten().to_numpy() for c in ("at", "tf"))
+        w = _weight(tf, dl[at], average)
         length = _lengths(rows.column("at").chunk(0))
         offset, times = np.cumsum(length) - length, first[t + 1] - first[t]
         cells = np.append(0, np.cumsum(times * length))
@@ -292,4 +305,4 @@ def _spread(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def open_blocks(spark: SparkSession, path: str) -> BlockIndex:
     """A stored index."""
-    return BlockIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms")))
+    return BlockIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "stats")))
